@@ -281,9 +281,8 @@ def evaluation_days(
         span.withColumn("_start", start)
         .withColumn("_end", end)
         .where(F.col("_start") <= F.col("_end"))
-        .select(
-            *keys, F.explode(F.sequence("_start", "_end")).cast("timestamp_ntz").alias("origin")
-        )
+        .select(*keys, F.explode(F.sequence("_start", "_end")).alias("origin"))
+        .withColumn("origin", F.col("origin").cast("timestamp_ntz"))
     )
 
 
@@ -297,7 +296,9 @@ def rows_by_origin(
     """
     days = math.ceil(lookback / 24)
     served = F.sequence(F.date_add(F.to_date("DateTime"), 1), F.date_add(F.to_date("DateTime"), days))
-    copied = rows.withColumn("origin", F.explode(served).cast("timestamp_ntz"))
+    copied = rows.withColumn("origin", F.explode(served)).withColumn(
+        "origin", F.col("origin").cast("timestamp_ntz")
+    )
     if lookback % 24:
         copied = copied.where(
             F.col("DateTime") >= F.col("origin") - F.make_dt_interval(hours=F.lit(lookback))
