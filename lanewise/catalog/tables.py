@@ -129,6 +129,12 @@ SELECT street_name, DateTime,
 FROM los_time GROUP BY 1, 2
 """, "los_time")
 
+table("slot_numbered", """
+SELECT *, row_number() OVER (PARTITION BY street_name ORDER BY DateTime) - 1 AS p,
+       count(*) OVER (PARTITION BY street_name) AS n
+FROM slots
+""", "slots")
+
 
 def sales(spark: SparkSession, sf: str) -> DataFrame:
     """A second family that spans several years."""

@@ -110,13 +110,6 @@ def win_05(spark, sf):
     return _digest(windows.sequence_windows(series, scaler=scaler, scale_target=False))
 
 
-table("slot_numbered", """
-SELECT *, row_number() OVER (PARTITION BY street_name ORDER BY DateTime) - 1 AS p,
-       count(*) OVER (PARTITION BY street_name) AS n
-FROM slots
-""", "slots")
-
-
 @query("win_06_congestion_windows", sql(f"""
 SELECT s.street_name, s.DateTime, s.p - 16 AS sample, s.n - 16 AS n_samples, CAST(s.is_congested AS DOUBLE) AS y,
        string_agg(CAST(r.is_congested AS VARCHAR), '' ORDER BY r.p) AS x_flags,

@@ -107,13 +107,24 @@ def predict_logit(samples: DataFrame, fits: DataFrame, name: str = "p") -> DataF
     )
 
 
+def _model_input(x: str = "x") -> Column:
+    """The features as a vector of fixed size.
+
+    The optimizer may score a row before the filter that drops incomplete windows; such a row
+    gets zeros instead of failing, and is dropped afterwards.
+    """
+    from pyspark.ml.functions import array_to_vector
+
+    zeros = F.array_repeat(F.lit(0.0), LOOKBACK * len(STEP_FIELDS))
+    return array_to_vector(F.when(F.size(x) == LOOKBACK, flat_features(x)).otherwise(zeros))
+
+
 def fit_mlp(samples: DataFrame, hidden: int = 8, max_iter: int = 30, seed: int = 7):
     """Pooled network on the training windows of all streets."""
     from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from pyspark.ml.functions import array_to_vector
 
     train = samples.where(F.col("split") == "train").select(
-        array_to_vector(flat_features("x")).alias("features"), F.col("y").alias("label")
+        _model_input().alias("features"), F.col("y").alias("label")
     )
     return MultilayerPerceptronClassifier(
         layers=[LOOKBACK * len(STEP_FIELDS), hidden, 2], maxIter=max_iter, seed=seed
@@ -121,11 +132,9 @@ def fit_mlp(samples: DataFrame, hidden: int = 8, max_iter: int = 30, seed: int =
 
 
 def predict_mlp(samples: DataFrame, model, name: str = "p") -> DataFrame:
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import vector_to_array
 
-    scored = model.transform(
-        samples.withColumn(model.getFeaturesCol(), array_to_vector(flat_features("x")))
-    )
+    scored = model.transform(samples.withColumn(model.getFeaturesCol(), _model_input()))
     return scored.withColumn(name, vector_to_array("probability")[1]).drop(
         model.getFeaturesCol(), "rawPrediction", "probability", "prediction"
     )
