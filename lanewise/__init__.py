@@ -4,6 +4,6 @@ Every operator is a ``DataFrame -> DataFrame`` function. Clock readings such as
 "now" and "today" are arguments, never read inside an operator.
 """
 
-from lanewise.session import build_session, scratch_path, use_checkpoint_dir
+from lanewise.session import build_session, scratch_path, stored
 
-__all__ = ["build_session", "scratch_path", "use_checkpoint_dir"]
+__all__ = ["build_session", "scratch_path", "stored"]

@@ -347,17 +347,22 @@ def joi_05_geo(spark, sf):
 @query("joi_06_hour_spine", sql(f"""
 SELECT r.RouteId, CAST(h.Hour AS INTEGER) AS Hour, {rd('m.MeanVehicles', 'MeanVehicles')}
 FROM (SELECT DISTINCT RouteId FROM obs) r, (SELECT unnest(range(24)) AS Hour) h
-LEFT JOIN (SELECT RouteId, hour(DateTime) AS Hour, avg(Vehicles) AS MeanVehicles FROM obs
-           WHERE weekday(DateTime) = 1 AND Vehicles > 60 GROUP BY 1, 2) m
+LEFT JOIN (SELECT RouteId, hour(DateTime) AS Hour, avg(Vehicles) FILTER (Vehicles > 250) AS MeanVehicles FROM obs GROUP BY 1, 2) m
   ON m.RouteId = r.RouteId AND m.Hour = h.Hour
 """, "obs"))
 def joi_06(spark, sf):
-    rows = t.obs(spark, sf)
-    busy = rows.where((F.weekday("DateTime") == 0) & (F.col("Vehicles") > 60))
-    means = busy.groupBy("RouteId", F.hour("DateTime").alias("Hour")).agg(
-        F.avg("Vehicles").alias("MeanVehicles")
-    )
-    return joins.hour_spine(rows.select("RouteId").distinct()).join(means, ["RouteId", "Hour"], "left")
+    busy = t.obs(spark, sf).withColumn("Vehicles", F.when(F.col("Vehicles") > 250, F.col("Vehicles")))
+    means = rollups.mean_by_hour_of_day(busy, ["RouteId"]).withColumnRenamed("HourOfDay", "Hour")
+    seen = means.where("MeanVehicles IS NOT NULL OR Hour < 12")
+    return joins.on_hour_spine(seen, ["RouteId"], "Hour", "MeanVehicles")
+
+
+@query("joi_06_slot_spine", sql(f"""
+SELECT c.c_custkey, CAST(h AS INTEGER) AS hour, CAST(m AS INTEGER) AS minute
+FROM customer c, (SELECT unnest([6, 7, 8]) AS h), (SELECT unnest([0, 30]) AS m)
+"""))
+def joi_06_slots(spark, sf):
+    return joins.slot_spine(t.load(spark, sf, "customer").select("c_custkey"), 6, 9)
 
 
 @query("joi_07_weekday_names", sql("""

@@ -238,7 +238,9 @@ FROM ar1_fit SEMI JOIN origins USING (RouteId, origin)
 """, "ar1_fit", "origins"))
 def fc_05_fit(spark, sf):
     hourly = t.hourly(spark, sf)
-    return fc.fit_ar(hourly, _origins(hourly)).where("phi IS NOT NULL").drop("n_train")
+    return fc.fit_ar(hourly, _origins(hourly)).select("RouteId", "origin", "ar1.*").where(
+        "phi IS NOT NULL"
+    )
 
 
 @query("fc_06_sar1", _oracle(["sar1"]))

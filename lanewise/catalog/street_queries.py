@@ -200,14 +200,6 @@ def fc_08_split(spark, sf):
     )
 
 
-def _predictors(slots):
-    fits = streets.fit_logit(slots)
-    return {
-        "logit": lambda df: streets.predict_logit(df, fits),
-        "persist": lambda df: df.withColumn("p", F.element_at("x", -1)["congested"]),
-    }
-
-
 @query("fc_10_rollout_logit")
 def fc_10(spark, sf):
     """Four steps of a fitted model; the fit has no SQL form."""
@@ -277,8 +269,7 @@ def fc_14_last_value(spark, sf):
 
 
 def _two_hours(spark, sf):
-    slots = t.slots(spark, sf)
-    return streets.next_two_hours(slots, NOW, _predictors(slots))
+    return streets.next_two_hours(t.slots(spark, sf), NOW)
 
 
 @query("fc_17_next_two_hours")

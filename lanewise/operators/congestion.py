@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions import calendar as cal
-from lanewise.operators.joins import slot_spine
 
 CONGESTED = ("D", "E", "F")
 
@@ -85,12 +84,19 @@ def weekly_pattern(slots: DataFrame, keys: Sequence[str] = ("street_name",)) ->
         cal.time_label(F.hour("DateTime"), F.lit(0)).alias("HourStr"),
     ).agg(pct.alias("pct"))
     wide = cells.groupBy(*keys, "weekday").pivot("HourStr", hours).agg(F.first("pct"))
-    spine = slots.select(*keys).distinct().withColumn(
-        "weekday", F.explode(F.sequence(F.lit(0), F.lit(6)))
+    # At most seven rows per street are gathered, to add the weekdays it lacks.
+    by_day = wide.groupBy(*keys).agg(
+        F.map_from_entries(
+            F.collect_list(F.struct("weekday", F.struct(*[F.col(f"`{h}`") for h in hours])))
+        ).alias("_days")
     )
     names = F.array(*[F.lit(n) for n in cal.WEEKDAY_NAMES])
-    return spine.join(wide, [*keys, "weekday"], "left").withColumn(
-        "weekday_label", F.element_at(names, F.col("weekday") + 1)
+    day = F.try_element_at("_days", F.col("weekday"))
+    return by_day.withColumn("weekday", F.explode(F.sequence(F.lit(0), F.lit(6)))).select(
+        *keys,
+        "weekday",
+        F.element_at(names, F.col("weekday") + 1).alias("weekday_label"),
+        *[day[h].alias(h) for h in hours],
     )
 
 
@@ -115,11 +121,10 @@ def slot_means(
 def window_slots(
     means: DataFrame, start_hour: int, end_hour: int, keys: Sequence[str] = ("street_name",)
 ) -> DataFrame:
-    """Slot means on the half-hour grid of a window; slots never seen are left out."""
-    spine = slot_spine(means.select(*keys).distinct(), start_hour, end_hour)
+    """Slot means on the half hours of a window. A slot never seen has no mean and no row."""
+    in_window = (F.col("hour") >= start_hour) & (F.col("hour") < end_hour)
     return (
-        spine.join(means, [*keys, "hour", "minute"], "left")
-        .where(F.col("MeanCongestion").isNotNull())
+        means.where(in_window & F.col("minute").isin(0, 30))
         .withColumn("TimeLabel", cal.time_label("hour", "minute"))
         .withColumn("CongestionPct", F.bround(F.col("MeanCongestion") * 100.0, 1))
     )

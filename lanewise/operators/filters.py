@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.functions import calendar as cal
+from lanewise.session import stored
 
 ALL_ZONES = "(All)"
 
@@ -44,7 +45,8 @@ def on_routes(df: DataFrame, routes: Sequence[str] | DataFrame | None) -> DataFr
     if routes is None:
         return df
     if isinstance(routes, DataFrame):
-        return df.join(routes.select("RouteId").distinct(), "RouteId", "left_semi")
+        wanted = stored(routes.select("RouteId").distinct(), "routes")
+        return df.join(wanted, "RouteId", "left_semi")
     return df.where(F.col("RouteId").isin([str(r) for r in routes])) if routes else df
 
 
@@ -63,13 +65,8 @@ def list_cities(df: DataFrame) -> DataFrame:
 def list_zones(df: DataFrame, city: str) -> DataFrame:
     """``(All)`` first, then the zones of the city in order. Empty when the city is unknown."""
     zones = df.where(F.col("City") == city).select("Zone").distinct()
-    everything = (
-        df.where(F.col("City") == city)
-        .groupBy("City")
-        .agg(F.lit(ALL_ZONES).alias("Zone"))
-        .select("Zone")
-    )
-    ranked = everything.withColumn("rank", F.lit(0)).unionByName(zones.withColumn("rank", F.lit(1)))
+    entries = zones.select(F.explode(F.array(F.lit(ALL_ZONES), F.col("Zone"))).alias("Zone"))
+    ranked = entries.distinct().withColumn("rank", (F.col("Zone") != ALL_ZONES).cast("int"))
     return ranked.orderBy("rank", "Zone")
 
 
@@ -96,8 +93,9 @@ def keep_long_series(df: DataFrame, keys: Sequence[str], min_rows: int) -> DataF
     so a series that holds most rows is never gathered in one task.
     """
     keys = list(keys)
-    long_enough = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return df.join(long_enough.where(F.col("_rows") >= min_rows).select(*keys), keys, "left_semi")
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    long_enough = stored(counted.where(F.col("_rows") >= min_rows).select(*keys), "long-series")
+    return df.join(long_enough, keys, "left_semi")
 
 
 def training_status(
@@ -117,26 +115,28 @@ def training_status(
     return split.withColumn("status", status)
 
 
+def _from_start(
+    df: DataFrame, start: Column, keys: Sequence[str], ts: str
+) -> DataFrame:
+    """Rows from a start computed per series. The starts are one row per series."""
+    starts = stored(df.groupBy(*keys).agg(start.alias("_start")), "starts")
+    return df.join(starts, list(keys)).where(F.col(ts) >= F.col("_start")).drop("_start")
+
+
 def last_days(
     df: DataFrame, days: int, keys: Sequence[str] = ("RouteId",), ts: str = "DateTime"
 ) -> DataFrame:
     """Rows from ``days`` before each series' own last day on, which is ``days + 1`` dates."""
-    keys = list(keys)
-    start = df.groupBy(*keys).agg(
-        F.date_sub(F.max(F.to_date(ts)), days).cast("timestamp_ntz").alias("_start")
-    )
-    return df.join(start, keys).where(F.col(ts) >= F.col("_start")).drop("_start")
+    start = F.date_sub(F.max(F.to_date(ts)), days).cast("timestamp_ntz")
+    return _from_start(df, start, keys, ts)
 
 
 def last_month(
     df: DataFrame, keys: Sequence[str] = ("RouteId",), ts: str = "DateTime"
 ) -> DataFrame:
     """Rows from one calendar month before each series' last time on, month end clamped."""
-    keys = list(keys)
-    start = df.groupBy(*keys).agg(
-        (F.max(ts) - F.make_ym_interval(months=F.lit(1))).alias("_start")
-    )
-    return df.join(start, keys).where(F.col(ts) >= F.col("_start")).drop("_start")
+    start = F.max(ts) - F.make_ym_interval(months=F.lit(1))
+    return _from_start(df, start, keys, ts)
 
 
 def drop_past(df: DataFrame, now, ts: str = "DateTime") -> DataFrame:

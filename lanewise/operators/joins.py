@@ -1,8 +1,8 @@
 """Joins: nearest in time, spines, and lookups in dimension tables.
 
-Small sides are not hinted as broadcast. Spark broadcasts a side only when its size, measured at
-run time by adaptive execution, is under ``spark.sql.autoBroadcastJoinThreshold``; a larger one
-falls back to a shuffled join, where skewed partitions are split.
+Small sides are not hinted as broadcast. Spark broadcasts a side only when its size, taken from
+its files or measured at run time, is under ``spark.sql.autoBroadcastJoinThreshold``; a larger one
+falls back to a shuffled join, where adaptive execution splits skewed partitions.
 """
 
 from __future__ import annotations
@@ -108,10 +108,12 @@ def models_side_by_side(
 ) -> DataFrame:
     """One row per hour forecast by every listed model, with a ``Pred_<model>`` column each.
 
-    An inner join of all models, done as one grouping.
+    An inner join of all models, done as one grouping. The rows usually come from a union; the
+    explicit repartition keeps the grouping from relying on partitioning the union reports.
     """
     wide = (
         forecasts.where(F.col("model").isin(list(models)))
+        .repartition(*keys, "DateTime")
         .groupBy(*keys, "DateTime")
         .pivot("model", list(models))
         .agg(F.avg("PredictedVehicles"))
@@ -122,9 +124,20 @@ def models_side_by_side(
     return named.dropna(subset=[f"Pred_{m}" for m in models])
 
 
-def hour_spine(series: DataFrame, name: str = "Hour") -> DataFrame:
-    """All 24 hours for every row of ``series``."""
-    return series.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(23))))
+def on_hour_spine(
+    values: DataFrame, keys: Sequence[str], hour: str, value: str
+) -> DataFrame:
+    """All 24 hours for every series in ``values``, null where it has none.
+
+    ``values`` has at most one row per series and hour. Gathering those 24 and spreading them
+    over the full day takes one grouping, where a join with a spine would read the input again.
+    """
+    by_hour = values.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct(hour, value))).alias("_by_hour")
+    )
+    return by_hour.withColumn(hour, F.explode(F.sequence(F.lit(0), F.lit(23)))).select(
+        *keys, hour, F.try_element_at("_by_hour", F.col(hour)).alias(value)
+    )
 
 
 def slot_spine(series: DataFrame, start_hour: int, end_hour: int) -> DataFrame:

@@ -77,8 +77,9 @@ def error_metrics(
     smape_mode: str = "replace0",
     mape_mode: str = "skip0",
     r2_mode: str = "null",
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
-    """MSE, RMSE, MAE, MAPE, SMAPE, R2 and row count per group."""
+    """MSE, RMSE, MAE, MAPE, SMAPE, R2 and row count per group, and ``extra`` aggregates."""
     return (
         complete_pairs(df, actual, predicted)
         .groupBy(*keys)
@@ -90,6 +91,7 @@ def error_metrics(
             mape(actual, predicted, mape_mode).alias("mape"),
             smape(actual, predicted, smape_mode).alias("smape"),
             r2(actual, predicted, r2_mode).alias("r2"),
+            *extra,
         )
     )
 

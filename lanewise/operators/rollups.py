@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lanewise.functions import calendar as cal
 from lanewise.operators.filters import last_month
-from lanewise.operators.joins import hour_spine
+from lanewise.operators.joins import on_hour_spine
 
 # Names of the numbered zones.
 ZONE_NAMES = {1: "North", 2: "South", 3: "East", 4: "West"}
@@ -60,8 +60,7 @@ def hourly_profile_last_month(obs: DataFrame, keys: Sequence[str] = ("RouteId",)
     means = recent.groupBy(*keys, F.hour("DateTime").alias("Hour")).agg(
         F.bround(F.avg("Vehicles"), 2).alias("VehiclesPerHour")
     )
-    spine = hour_spine(obs.select(*keys).distinct(), "Hour")
-    return spine.join(means, [*keys, "Hour"], "left")
+    return on_hour_spine(means, keys, "Hour", "VehiclesPerHour")
 
 
 def volume_by_zone(obs: DataFrame, names: dict[int, str] | None = None) -> DataFrame:

@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
-    """Bag union by column name; a missing column is null."""
+    """Bag union by column name; a missing column is null.
+
+    Repartition before grouping or windowing a union by keys its parts are already partitioned
+    by: a union may report their common partitioning, which adaptive execution can then change
+    in one part only.
+    """
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

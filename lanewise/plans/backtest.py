@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lanewise.functions import calendar as cal
 from lanewise.operators import joins, metrics, resample, windows
 from lanewise.plans import forecast as fc
+from lanewise.session import stored
 
 
 def daily_metrics(
@@ -27,7 +28,7 @@ def daily_metrics(
     the model itself answered, so a baseline never passes for the model.
     """
     keys = list(keys)
-    hourly = resample.hourly_mean(obs, keys)
+    hourly = stored(resample.hourly_mean(obs, keys), "hourly")
     origins = windows.evaluation_days(hourly, days, include_last, keys)
     predicted = fc.forecast(hourly, origins, models, min_history=min_history, keys=keys)
     actual = hourly.withColumnRenamed("Vehicles", "Actual")
@@ -38,10 +39,9 @@ def daily_metrics(
             "_own": (F.col("model_used") == F.col("model")).cast("int"),
         }
     )
-    group = [*keys, "date", "model"]
-    scores = metrics.error_metrics(pairs, group, r2_mode=r2_mode)
-    own = pairs.groupBy(*group).agg(F.sum("_own").alias("n_model"))
-    return scores.join(own, group)
+    return metrics.error_metrics(
+        pairs, [*keys, "date", "model"], r2_mode=r2_mode, extra=[F.sum("_own").alias("n_model")]
+    )
 
 
 def evaluated_span(obs: DataFrame, days: int = 365, include_last: bool = False,
@@ -141,7 +141,9 @@ def linear_direct(
     from pyspark.ml.regression import LinearRegression
 
     keys = list(keys)
-    samples = linear_samples(obs, lookback, min_history, keys, train_ratio, family)
+    samples = stored(
+        linear_samples(obs, lookback, min_history, keys, train_ratio, family), "samples"
+    )
     features = [
         "seasonal_naive", "daily_naive", "history_mean", "last_value",
         "hour_sin", "hour_cos", "dow_sin", "dow_cos", "route_index",
@@ -173,7 +175,7 @@ def linear_samples(
     A route belongs to one family; its index is its place in the family's sorted routes.
     """
     keys = list(keys)
-    hourly = resample.hourly_mean(obs, keys)
+    hourly = stored(resample.hourly_mean(obs, keys), "hourly")
     origins = hourly.select(*keys, cal.day_floor("DateTime").alias("origin")).distinct()
     stats = fc.history_stats(hourly, origins, lookback, keys).where(
         F.col("n_history") >= (lookback if min_history is None else min_history)

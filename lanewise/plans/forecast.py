@@ -11,7 +11,8 @@ estimators are exchangeable:
 Where an estimator cannot answer, the mean of the history does, and ``model_used`` says so.
 
 All windows below run over hourly or daily rows of one route, at most 8,784 or 366 a year; raw
-rows only ever go through combining aggregations.
+rows only ever go through combining aggregations. Jobs that use the hourly table several times
+store it first, so the raw rows are scanned once.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ from pyspark.sql import functions as F
 
 from lanewise.functions import calendar as cal
 from lanewise.operators import joins, resample, rollups, windows
+from lanewise.operators.filters import drop_past
+from lanewise.operators.shape import union_all
+from lanewise.session import stored
 
 KEYS = ("RouteId",)
 LAGS = {"seasonal_naive": 168, "daily_naive": 24}
@@ -136,79 +140,83 @@ def filled_series(hourly: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def fit_ar(
     hourly: DataFrame,
     origins: DataFrame,
-    season: int = 0,
+    seasons: dict[str, int] | None = None,
     fill_first: bool = False,
     min_points: int = 24,
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """AR(1) with intercept for every origin, on all history before it.
 
+    ``seasons`` names the fits; a fit with a season models the differences to that many hours
+    earlier. Each becomes a struct of ``phi``, ``mu``, ``last_time`` and ``last_level``, whose
+    phi and mu are null where it is not stationary or the history is shorter than
+    ``min_points`` hours.
+
     The series is gap-filled linearly. By default it is cut at the origin before filling, so an
     hour filled from a value at or after the origin does not count. ``fill_first`` fills before
-    cutting, which lets later values reach the end of the history. ``season`` fits the
-    differences to ``season`` hours earlier.
+    cutting, which lets later values reach the end of the history.
 
-    Each day adds five sums, and running sums over days give every origin its fit, so the cost
-    does not grow with the number of origins. phi, mu and the last state are null where the fit
-    is not stationary or the history is shorter than ``min_points`` hours.
+    Each day adds five sums per fit, and running sums over days serve every origin, so the cost
+    does not grow with the number of origins.
     """
     keys = list(keys)
+    seasons = seasons or {"ar1": 0}
     w = Window.partitionBy(*keys).orderBy("DateTime")
-    level = F.col("Vehicles") - F.lag("Vehicles", season).over(w) if season else F.col("Vehicles")
-    series = (
-        filled_series(hourly, keys)
-        .withColumn("_y", level)
-        .withColumn("_x", F.lag("_y").over(w))
-        .withColumn("_day", F.to_date("DateTime" if fill_first else "known_at"))
-    )
-    x, y = F.col("_x"), F.when(F.col("_x").isNotNull(), F.col("_y"))
-    state = F.struct("DateTime", F.col("_y").alias("level"))
-    state = state if fill_first else F.when(F.col("DateTime") == F.col("known_at"), state)
+    series = filled_series(hourly, keys).withColumn(
+        "_day", F.to_date("DateTime" if fill_first else "known_at")
+    )
+    value = F.col("Vehicles")
+    levels = {n: value - F.lag(value, lag).over(w) if lag else value for n, lag in seasons.items()}
+    series = series.withColumns({f"_y_{n}": level for n, level in levels.items()})
+    series = series.withColumns({f"_x_{n}": F.lag(f"_y_{n}").over(w) for n in seasons})
+    complete = F.lit(True) if fill_first else F.col("DateTime") == F.col("known_at")
+    state = F.struct("DateTime", *[F.col(f"_y_{n}").alias(n) for n in seasons])
+    sums = {}
+    for n in seasons:
+        x, y = F.col(f"_x_{n}"), F.when(F.col(f"_x_{n}").isNotNull(), F.col(f"_y_{n}"))
+        pairs = {"n": F.count(y), "sx": F.sum(x), "sy": F.sum(y)}
+        pairs |= {"sxx": F.sum(x * x), "sxy": F.sum(x * y)}
+        sums |= {f"_{stat}_{n}": agg for stat, agg in pairs.items()}
     daily = series.groupBy(*keys, "_day").agg(
-        F.count(y).alias("_n"),
-        F.sum(F.when(y.isNotNull(), x)).alias("_sx"),
-        F.sum(y).alias("_sy"),
-        F.sum(x * x).alias("_sxx"),
-        F.sum(x * y).alias("_sxy"),
-        F.max(state).alias("_state"),
+        *[agg.alias(c) for c, agg in sums.items()],
+        F.max(F.when(complete, state)).alias("_state"),
         F.min("DateTime").alias("_first"),
         F.lit(1).alias("_side"),
     )
     asked = origins.select(*keys, F.to_date("origin").alias("_day")).distinct()
-    rows = daily.unionByName(asked.withColumn("_side", F.lit(0)), allowMissingColumns=True)
     so_far = (
         Window.partitionBy(*keys)
         .orderBy("_day", "_side")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    sums = {c: F.sum(c).over(so_far) for c in ("_n", "_sx", "_sy", "_sxx", "_sxy")}
     at_origin = (
-        rows.withColumns(
-            {
-                **{f"{c}_": v for c, v in sums.items()},
-                "_state_": F.last("_state", ignorenulls=True).over(so_far),
-                "_first_": F.min("_first").over(so_far),
-            }
-        )
-        .where(F.col("_side") == 0)
+        daily.unionByName(asked.withColumn("_side", F.lit(0)), allowMissingColumns=True)
         .select(
             *keys,
+            "_side",
             F.col("_day").cast("timestamp_ntz").alias("origin"),
-            *[F.col(f"{c}_").alias(c) for c in sums],
-            F.col("_state_.DateTime").alias("last_time"),
-            F.col("_state_.level").alias("last_level"),
-            (cal.hours_between("_first_", F.col("_state_.DateTime")) + 1).alias("n_train"),
+            *[F.sum(c).over(so_far).alias(c) for c in sums],
+            F.last("_state", ignorenulls=True).over(so_far).alias("_state"),
+            F.min("_first").over(so_far).alias("_first"),
         )
+        .where(F.col("_side") == 0)
     )
-    n, sx, sy, sxx, sxy = (F.col(c) for c in ("_n", "_sx", "_sy", "_sxx", "_sxy"))
-    phi = F.try_divide(n * sxy - sx * sy, F.nullif(n * sxx - sx * sx, F.lit(0.0)))
-    fitted = at_origin.withColumn("phi", phi).withColumn(
-        "phi", F.when((F.abs("phi") < 1) & (F.col("n_train") >= min_points), F.col("phi"))
-    )
-    intercept = F.try_divide(sy - F.col("phi") * sx, n)
-    return fitted.withColumn("mu", intercept / (F.lit(1.0) - F.col("phi"))).select(
-        *keys, "origin", "phi", "mu", "last_time", "last_level", "n_train"
-    )
+    last_time = F.col("_state.DateTime")
+    long_enough = cal.hours_between("_first", last_time) + 1 >= min_points
+
+    def fit(name: str) -> Column:
+        n, sx, sy, sxx, sxy = (F.col(f"_{c}_{name}") for c in ("n", "sx", "sy", "sxx", "sxy"))
+        slope = F.try_divide(n * sxy - sx * sy, F.nullif(n * sxx - sx * sx, F.lit(0.0)))
+        phi = F.when((F.abs(slope) < 1) & long_enough, slope)
+        mu = F.try_divide(sy - phi * sx, n) / (F.lit(1.0) - phi)
+        return F.struct(
+            phi.alias("phi"),
+            mu.alias("mu"),
+            last_time.alias("last_time"),
+            F.col(f"_state.{name}").alias("last_level"),
+        )
+
+    return at_origin.select(*keys, "origin", *[fit(name).alias(name) for name in seasons])
 
 
 def ar_step(phi: Column, mu: Column, last: Column, steps: Column) -> Column:
@@ -274,12 +282,11 @@ def forecast(
     at_origin = [*keys, "origin"]
     asked = origins.select(*at_origin).distinct()
     plan = asked.join(history_stats(hourly, asked, lookback, keys), at_origin, "left")
-    for name in [m for m in FITTED if m in models]:
-        fit = fit_ar(hourly, asked, season if name == "sar1" else 0, fill_first, keys=keys)
+    seasons = {m: s for m, s in {"ar1": 0, "sar1": season}.items() if m in models}
+    if seasons:
+        fits = fit_ar(hourly, asked, seasons, fill_first, keys=keys)
         plan = plan.join(
-            fit.select(*at_origin, F.struct("phi", "mu", "last_time", "last_level").alias(f"_{name}")),
-            at_origin,
-            "left",
+            fits.withColumnsRenamed({m: f"_{m}" for m in seasons}), at_origin, "left"
         )
     if known_routes is not None:
         known = known_routes.select(*keys).distinct().withColumn("_known", F.lit(True))
@@ -372,6 +379,7 @@ def batch_forecast(
     asked = (
         placed.select(*keys, "DateTime", state.alias("_s"), F.lit(1).alias("_side"))
         .unionByName(origins, allowMissingColumns=True)
+        .repartition(*keys)
         .withColumn("_s", F.last("_s", ignorenulls=True).over(so_far))
         .where(F.col("_side") == 0)
         .select(
@@ -416,10 +424,12 @@ def rollout(
         raise ValueError("rollout needs a look-back of whole days")
     needed = lookback if min_history is None else min_history
     hourly = hourly_totals(obs, keys)
-    anchors = hourly.groupBy(*keys).agg(F.to_date(F.max("DateTime")).alias("anchor"))
+    if model == "profile":
+        hourly = stored(hourly, "hourly")
+    last_day = F.to_date(F.max("DateTime").over(Window.partitionBy(*keys)))
     start = cal.plus_hours(F.date_add("anchor", 1).cast("timestamp_ntz"), -lookback)
     recent = (
-        hourly.join(anchors, keys)
+        hourly.withColumn("anchor", last_day)
         .where(F.col("DateTime") >= start)
         .withColumn("_i", cal.hours_between(start, F.col("DateTime")))
     )
@@ -542,9 +552,6 @@ def week_ahead(
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """Ensemble rollout moved onto the week from ``today``, past hours dropped, hours merged."""
-    from lanewise.operators.filters import drop_past
-    from lanewise.operators.shape import union_all
-
     parts = union_all([rollout(obs, m, n_days, min_history=min_history, keys=keys) for m in models])
     merged = ensemble(parts, models, keys=keys)
     shifted = merged.withColumn("DateTime", cal.shift_to_week_of("DateTime", today))
@@ -564,12 +571,14 @@ def daily_actual_vs_models(
     A day without any history before it has no forecast. Actuals add up raw rows, forecasts
     hourly means.
     """
-    hourly = hourly_totals(obs, keys)
+    hourly = stored(hourly_totals(obs, keys), "hourly")
     daily = hourly.groupBy(*keys, F.to_date("DateTime").alias("Date")).agg(
         F.sum("Total").alias("DailyActual")
     )
-    start = daily.groupBy(*keys).agg(F.date_sub(F.max("Date"), days_back).alias("_start"))
-    actual = daily.join(start, list(keys)).where(F.col("Date") >= F.col("_start")).drop("_start")
+    last = F.max("Date").over(Window.partitionBy(*keys))
+    actual = daily.withColumn("_last", last).where(
+        F.col("Date") >= F.date_sub("_last", days_back)
+    ).drop("_last")
     origins = actual.select(*keys, F.col("Date").cast("timestamp_ntz").alias("origin"))
     predicted = forecast(hourly, origins, models, min_history=min_history, keys=keys)
     per_day = (

@@ -10,6 +10,7 @@ rows. That bounded series is what a per-street fit receives.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -17,8 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.functions import calendar as cal
-from lanewise.functions import slugs
+from lanewise.functions import slugs, travel
 from lanewise.operators import filters, joins, metrics, reports, windows
+from lanewise.operators.shape import union_all
+from lanewise.plans.forecast import mean_of_present
+from lanewise.session import stored
 
 KEY = "street_name"
 LOOKBACK = 16
@@ -147,6 +151,7 @@ def train_streets(
 
     A street that is too short, or whose test part is too small, keeps a row that says so.
     """
+    slots = stored(slots, "slots")
     status = filters.training_status(slots, [KEY], LOOKBACK, train_ratio=train_ratio)
     usable = slots.join(status.where(F.col("status") == "trained").select(KEY), KEY, "left_semi")
     samples = labelled_windows(usable, train_ratio)
@@ -194,6 +199,7 @@ def evaluate_streets(
     slots: DataFrame, model_types: Sequence[str] = ("logit", "mlp"), train_ratio: float = 0.8
 ) -> tuple[DataFrame, DataFrame]:
     """Test detail (street, time, actual, probability, model) and its summary per street."""
+    slots = stored(slots, "slots")
     long_enough = filters.keep_long_series(slots, [KEY], LOOKBACK + 11)
     samples = labelled_windows(long_enough, train_ratio, rule="train_min1")
     test = samples.where(F.col("split") == "test").select(KEY, "DateTime", "x", "y")
@@ -213,10 +219,7 @@ def evaluate_streets(
                 F.col("p").alias("Predicted_prob"),
             )
         )
-    detail = parts[0]
-    for part in parts[1:]:
-        detail = detail.unionByName(part)
-    return detail, evaluation_summary(detail, train_ratio)
+    return union_all(parts), union_all([evaluation_summary(p, train_ratio) for p in parts])
 
 
 def evaluation_summary(detail: DataFrame, train_ratio: float = 0.8) -> DataFrame:
@@ -275,26 +278,39 @@ def rollout_next(
     )
 
 
+def fitted_predictors(slots: DataFrame, models: Sequence[str], train_ratio: float = 0.8) -> dict:
+    """Functions that add ``p`` from a window, by model name."""
+    known = {}
+    for name in models:
+        if name == "logit":
+            fits = stored(fit_logit(slots, train_ratio), "logit")
+            known[name] = partial(predict_logit, fits=fits)
+        elif name == "mlp":
+            known[name] = partial(predict_mlp, model=fit_mlp(labelled_windows(slots, train_ratio)))
+        else:
+            raise ValueError(f"unknown model type {name!r}")
+    return known
+
+
 def next_two_hours(
     slots: DataFrame,
     now,
-    predictors: dict,
+    models: Sequence[str] | dict = ("logit", "mlp"),
     steps: int = 4,
     zone: str = "Asia/Ho_Chi_Minh",
 ) -> DataFrame:
     """Mean probability of the models for the slots after ``now``, a UTC clock reading.
 
-    Steps are labelled with the local wall clock, not with the data's own end.
+    Steps are labelled with the local wall clock, not with the data's own end. ``models`` may
+    also be a dictionary of functions that add ``p`` from a window ``x``.
     """
-    from lanewise.plans.forecast import mean_of_present
-
+    slots = stored(slots, "slots")
+    predictors = models if isinstance(models, dict) else fitted_predictors(slots, models)
     parts = [
         rollout_next(slots, predict, steps).withColumn("model", F.lit(name))
         for name, predict in predictors.items()
     ]
-    long = parts[0]
-    for part in parts[1:]:
-        long = long.unionByName(part)
+    long = union_all(parts).repartition(KEY, "step")
     wide = long.groupBy(KEY, "step").pivot("model", list(predictors)).agg(F.first("p"))
     named = wide.select(
         KEY, "step", *[F.col(f"`{m}`").alias(f"Prob_{m}") for m in predictors]
@@ -310,8 +326,6 @@ def next_two_hours(
 
 def two_hour_report(forecast: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Levels per slot, the summary per street, and its travel-time summary."""
-    from lanewise.functions import travel
-
     levels = forecast.withColumn("level", travel.congestion_level("p"))
     summary = reports.next_hours_summary(forecast, [KEY])
     travel_times = reports.travel_summary(reports.travel_table(forecast, [KEY]), [KEY])

@@ -1,4 +1,4 @@
-"""Session settings and the shared folder for checkpoints and scratch tables."""
+"""Session settings, and intermediate tables in the cluster's shared folder."""
 
 from __future__ import annotations
 
@@ -46,18 +46,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint()`` usable without overriding the cluster's choice."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Store ``df`` reliably and cut its lineage."""
-    use_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder for a table written and read back."""
     return f"{shared_folder(spark).rstrip('/')}/lanewise-{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder once and read it back.
+
+    Used for a reduced table that a job reads more than once, so that the raw rows behind it are
+    scanned once and a lost executor costs no recomputation of them. The files also give the
+    planner the table's true size: it broadcasts the table only when it is under
+    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise, and it decides that before
+    it would start to shuffle the other, large side.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
