@@ -460,7 +460,7 @@ def _top_oracle(min_history):
     body, needs = _averages_sql(min_history)
     return sql(f"""
 SELECT RouteId, model, {_SIX_COLUMNS}, n_days, {rd('coalesce(smape, rmse)', 'score')}, CAST(rank AS INTEGER) AS rank
-FROM (SELECT *, row_number() OVER (PARTITION BY RouteId ORDER BY coalesce(smape, rmse), model) AS rank FROM ({body}))
+FROM (SELECT *, row_number() OVER (PARTITION BY RouteId ORDER BY round(coalesce(smape, rmse), 9), model) AS rank FROM ({body}))
 WHERE rank <= 2
 """, *needs)
 
@@ -481,7 +481,7 @@ def _summary_oracle():
 SELECT 'Metro' AS city, '(All)' AS zone, a.RouteId AS route_id, 'Metro' AS family_name,
        strftime(any_value(s.first) + 1, '%Y-%m-%d') AS eval_start_date, strftime(any_value(s.last) - 1, '%Y-%m-%d') AS eval_end_date,
        CAST(any_value(s.last) - any_value(s.first) - 1 AS INTEGER) AS n_days_evaluated,
-       list_aggregate(list(model ORDER BY coalesce(smape, rmse), model)[1:2], 'string_agg', ',') AS top_models,
+       list_aggregate(list(model ORDER BY round(coalesce(smape, rmse), 9), model)[1:2], 'string_agg', ',') AS top_models,
        string_agg(model, ',' ORDER BY model) AS models
 FROM ({body}) a JOIN spans s ON s.RouteId = a.RouteId GROUP BY a.RouteId
 """, *needs, "spans")

@@ -177,9 +177,13 @@ def top_models(
     averages: DataFrame, k: int = 2, score: Column | str | None = None,
     keys: Sequence[str] = ("RouteId",),
 ) -> DataFrame:
-    """The ``k`` models with the lowest score per route, model name breaking ties."""
+    """The ``k`` models with the lowest score per route, model name breaking ties.
+
+    Scores count as equal to nine decimals: beyond that they depend on the order in which a
+    cluster happens to add them up.
+    """
     scored = averages.withColumn("score", smape_score() if score is None else col(score))
-    w = Window.partitionBy(*keys).orderBy(F.col("score").asc_nulls_last(), "model")
+    w = Window.partitionBy(*keys).orderBy(F.round("score", 9).asc_nulls_last(), "model")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -194,7 +198,9 @@ def backtest_summary(
     scored = averages.withColumn("score", smape_score())
     names = ("mse", "rmse", "mae", "mape", "smape", "r2", "score")
     entry = F.struct("model", F.struct(*names).alias("scores"))
-    ranked = F.struct(F.coalesce("score", F.lit(float("inf"))).alias("s"), F.col("model").alias("m"))
+    ranked = F.struct(
+        F.coalesce(F.round("score", 9), F.lit(float("inf"))).alias("s"), F.col("model").alias("m")
+    )
     grouped = scored.groupBy(*keys).agg(
         F.slice(F.array_sort(F.collect_list(ranked)), 1, k)["m"].alias("top_models"),
         F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("metrics_avg"),

@@ -134,7 +134,8 @@ def linear_direct(
     One row per (origin, step), with the values a week and a day before, the history's mean, the
     last hour before the origin, cyclic calendar terms and the route's index. Lag columns stand
     in for a 168-step tensor: they carry what a linear model can use, at a small share of the
-    size. The solver adds up one small matrix per partition.
+    size. The solver adds up one small matrix per partition. Without any training row the result
+    is empty.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
@@ -148,6 +149,12 @@ def linear_direct(
         "seasonal_naive", "daily_naive", "history_mean", "last_value",
         "hour_sin", "hour_cos", "dow_sin", "dow_cos", "route_index",
     ]
+    train = samples.where(F.col("split") == "train")
+    if train.isEmpty():
+        return samples.limit(0).select(
+            *keys, "origin", "DateTime", "Actual",
+            F.col("Actual").alias("PredictedVehicles"), F.lit("").alias("model_used"),
+        )
     model = Pipeline(
         stages=[
             VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"),
@@ -155,7 +162,7 @@ def linear_direct(
                 featuresCol="features", labelCol="Actual", solver="normal", regParam=1e-6
             ),
         ]
-    ).fit(samples.where(F.col("split") == "train"))
+    ).fit(train)
     return model.transform(samples.where(F.col("split") == "test")).select(
         *keys,
         "origin",
