@@ -77,11 +77,16 @@ def chronological_split(
     return df.withColumn("split", F.when(F.col(pos) < n_train, "train").otherwise("test"))
 
 
-def _blocks(df: DataFrame, back: int, ahead: int, size: int) -> DataFrame:
-    """Copy each row to the blocks whose windows need it."""
+def _blocks(df: DataFrame, keys: Sequence[str], back: int, ahead: int, size: int) -> DataFrame:
+    """Copy each row to the blocks whose windows need it, and spread the blocks.
+
+    Numbering left a series in one partition, which would do for windows by block as well;
+    the explicit repartition makes its blocks go to different tasks.
+    """
     first = F.floor((F.col("pos") - ahead) / size)
     last = F.floor((F.col("pos") + back) / size)
-    return df.withColumn("_block", F.explode(F.sequence(first, last)))
+    copied = df.withColumn("_block", F.explode(F.sequence(first, last)))
+    return copied.repartition(*keys, "_block")
 
 
 def _own_block(size: int) -> Column:
@@ -163,7 +168,7 @@ def sequence_windows(
         (value if scale_target else F.col("Vehicles")).alias("_target"),
     )
     placed = with_position(steps, keys, ["DateTime"])
-    copied = _blocks(placed, back=lookback, ahead=horizon - 1, size=block_rows)
+    copied = _blocks(placed, keys, lookback, horizon - 1, block_rows)
     w = Window.partitionBy(*keys, "_block").orderBy("pos")
     last_start = F.col("n") - horizon - (1 if drop_last else 0)
     return (
@@ -214,7 +219,7 @@ def value_windows(
 def _one_step(
     placed: DataFrame, lookback: int, keys: Sequence[str], block_rows: int
 ) -> DataFrame:
-    copied = _blocks(placed, back=lookback, ahead=0, size=block_rows)
+    copied = _blocks(placed, keys, lookback, 0, block_rows)
     w = Window.partitionBy(*keys, "_block").orderBy("pos")
     return (
         copied.withColumn("x", F.collect_list("_step").over(w.rowsBetween(-lookback, -1)))

@@ -19,6 +19,7 @@ def spark(tmp_path_factory):
             "spark.ui.showConsoleProgress": "false",
             "spark.sql.shuffle.partitions": "8",
             "spark.driver.memory": "8g",
+            "spark.sql.maxMetadataStringLength": "5000",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         },
     )
