@@ -10,6 +10,7 @@ from lanewise.functions import calendar as cal
 from lanewise.functions import slugs, travel
 from lanewise.operators import congestion, filters, joins, reports, rollups, shape, windows
 from lanewise.plans import forecast as fc
+from lanewise.session import stored
 
 NOW, TODAY = "2024-01-18 09:41:00", "2024-01-18"
 
@@ -527,7 +528,8 @@ FROM obs o JOIN (SELECT Zone, RouteId, row_number() OVER (PARTITION BY Zone ORDE
 """, "obs"))
 def scl_06(spark, sf):
     rows = t.obs(spark, sf)
-    placed = rows.join(windows.route_index(rows, ["Zone"]), ["Zone", "RouteId"])
+    index = stored(windows.route_index(rows, ["Zone"]), "route-index")
+    placed = rows.join(index, ["Zone", "RouteId"])
     vector = F.transform(windows.one_hot("route_index", "n_routes"), lambda v: v.cast("int").cast("string"))
     return placed.select("event_id", "route_index", F.array_join(vector, ",").alias("one_hot"))
 

@@ -89,18 +89,20 @@ def actual_vs_predicted(
     return actual.join(predicted, list(keys))
 
 
-def daily_with_models(actual: DataFrame, daily_models: DataFrame, models: Sequence[str]) -> DataFrame:
+def daily_with_models(
+    actual: DataFrame,
+    daily_models: DataFrame,
+    models: Sequence[str],
+    keys: Sequence[str] = ("RouteId",),
+) -> DataFrame:
     """Daily actuals with one nullable ``Daily_<model>`` column per model.
 
-    ``daily_models`` is long: RouteId, Date, model, DailyPred.
+    ``daily_models`` is long: the keys, Date, model, DailyPred.
     """
-    wide = daily_models.groupBy("RouteId", "Date").pivot("model", list(models)).agg(
-        F.avg("DailyPred")
-    )
-    renamed = wide.select(
-        "RouteId", "Date", *[F.col(f"`{m}`").alias(f"Daily_{m}") for m in models]
-    )
-    return actual.join(renamed, ["RouteId", "Date"], "left")
+    on = [*keys, "Date"]
+    wide = daily_models.groupBy(*on).pivot("model", list(models)).agg(F.avg("DailyPred"))
+    renamed = wide.select(*on, *[F.col(f"`{m}`").alias(f"Daily_{m}") for m in models])
+    return actual.join(renamed, on, "left")
 
 
 def models_side_by_side(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions import calendar as cal
+from lanewise.session import stored
 
 BLOCK_ROWS = 720
 
@@ -108,7 +109,7 @@ def fit_scaler(df: DataFrame, keys: Sequence[str] = (), value: str = "Vehicles")
 def with_scaler(df: DataFrame, scaler: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Add ``mean`` and ``std``: by key, or from a one-row scaler as a scalar subquery."""
     if keys:
-        return df.join(scaler, list(keys))
+        return df.join(stored(scaler, "scaler"), list(keys))
     return df.withColumn("mean", scaler.select("mean").scalar()).withColumn(
         "std", scaler.select("std").scalar()
     )

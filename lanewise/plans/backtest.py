@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lanewise.functions import calendar as cal
 from lanewise.operators import joins, metrics, resample, windows
+from lanewise.operators.filters import family_for_training
 from lanewise.plans import forecast as fc
 from lanewise.session import stored
 
@@ -44,8 +45,9 @@ def daily_metrics(
     )
 
 
-def evaluated_span(obs: DataFrame, days: int = 365, include_last: bool = False,
-                   keys: Sequence[str] = fc.KEYS) -> DataFrame:
+def evaluated_span(
+    obs: DataFrame, days: int = 365, include_last: bool = False, keys: Sequence[str] = fc.KEYS
+) -> DataFrame:
     """First, last and number of evaluated days per route."""
     origins = windows.evaluation_days(obs, days, include_last, keys)
     return origins.groupBy(*keys).agg(
@@ -66,16 +68,29 @@ def run(
 
 
 def summary(
-    obs: DataFrame, daily: DataFrame, city: str, zone: str, family: str, days: int = 365
+    obs: DataFrame,
+    daily: DataFrame,
+    city: str | None = None,
+    zone: str | None = None,
+    family: str | None = None,
+    days: int = 365,
+    keys: Sequence[str] = fc.KEYS,
 ) -> DataFrame:
-    """The stored summary, one row per route."""
-    averages = metrics.average_metrics(daily)
-    rows = metrics.backtest_summary(averages, evaluated_span(obs, days))
+    """The stored summary, one row per route.
+
+    City and zone come from the arguments, or from the data when they are among the keys; the
+    family defaults to the one a trainer would write to.
+    """
+    averages = metrics.average_metrics(daily, [*keys, "model"])
+    rows = metrics.backtest_summary(averages, evaluated_span(obs, days, keys=keys), keys=keys)
+    city_column = F.lit(city) if city is not None else F.col("City")
+    zone_column = F.lit(zone) if zone is not None else F.col("Zone")
+    named = family_for_training(city_column, zone_column) if family is None else F.lit(family)
     return rows.select(
-        F.lit(city).alias("city"),
-        F.lit(zone).alias("zone"),
+        city_column.alias("city"),
+        zone_column.alias("zone"),
         F.col("RouteId").alias("route_id"),
-        F.lit(family).alias("family_name"),
+        named.alias("family_name"),
         "eval_start_date",
         "eval_end_date",
         "n_days_evaluated",

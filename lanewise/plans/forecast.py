@@ -586,4 +586,4 @@ def daily_actual_vs_models(
         .groupBy(*keys, F.to_date("origin").alias("Date"), "model")
         .agg(F.sum("PredictedVehicles").alias("DailyPred"))
     )
-    return joins.daily_with_models(actual, per_day, models)
+    return joins.daily_with_models(actual, per_day, models, keys)
