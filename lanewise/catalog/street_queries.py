@@ -41,8 +41,7 @@ def _accented(los):
 SELECT 'duong_' || street_name AS slug, DateTime, is_congested FROM slots
 """, "slots"))
 def agg_07(spark, sf):
-    los = _accented(congestion.with_slot_time(t.los(spark, sf)))
-    return congestion.congested_slots(los.withColumn("slug", slugs.slug("street_name")), ["slug"])
+    return congestion.congested_slots(_accented(t.los(spark, sf)), slug_of="street_name")
 
 
 @query("agg_08_congested_rows", sql("""

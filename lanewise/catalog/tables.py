@@ -120,7 +120,7 @@ FROM los
 
 
 def slots(spark: SparkSession, sf: str) -> DataFrame:
-    return congestion.congested_slots(congestion.with_slot_time(los(spark, sf)))
+    return congestion.congested_slots(los(spark, sf))
 
 
 table("slots", """

@@ -80,6 +80,12 @@ def plus_hours(ts: Column | str, hours: Column | int) -> Column:
     return col(ts) + F.make_dt_interval(hours=hours.cast("int"))
 
 
+def hour_number(ts: Column | str) -> Column:
+    """Hours since 1970 as an integer."""
+    ts = col(ts)
+    return F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")) * 24 + F.hour(ts)
+
+
 def hours_between(earlier: Column | str, later: Column | str) -> Column:
     """Whole hours from one hour mark to a later one."""
     a, b = col(earlier), col(later)

@@ -69,7 +69,8 @@ def predict(spark: SparkSession, args) -> None:
 
 
 def _slots(spark: SparkSession, args) -> DataFrame:
-    return stored(congestion.congested_slots(raw.read_level_of_service(spark, args.csv)), "slots")
+    los = raw.read_level_of_service(spark, args.csv, slot_time=False)
+    return stored(congestion.congested_slots(los), "slots")
 
 
 def train_streets(spark: SparkSession, args) -> None:

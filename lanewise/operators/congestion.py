@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions import calendar as cal
+from lanewise.functions import slugs
 
 CONGESTED = ("D", "E", "F")
 
@@ -34,14 +35,28 @@ def is_congested_row(los: Column | str = "LOS") -> Column:
     )
 
 
-def congested_slots(los: DataFrame, keys: Sequence[str] = ("street_name",)) -> DataFrame:
+def congested_slots(
+    los: DataFrame, keys: Sequence[str] = ("street_name",), slug_of: str | None = None
+) -> DataFrame:
     """1 for a slot in which at least half of the rows are congested, else 0.
 
-    The share is a pair of sums, so it combines map-side and a street that holds most rows
-    costs its own tasks nothing extra. A street then has at most 48 slots a day.
+    Input without DateTime is first added up by its own date and period texts, so that times are
+    parsed once per slot and not once per row. ``slug_of`` names a column to replace by its slug,
+    which merges streets that share one; that too is done on the sums.
+
+    The share is a pair of sums, so it combines map-side however many rows a street has. A
+    street then has at most 48 slots a day.
     """
-    share = F.avg(is_congested_letter().cast("double"))
-    return los.groupBy(*keys, "DateTime").agg((share >= 0.5).cast("int").alias("is_congested"))
+    keys = [slug_of] if slug_of else list(keys)
+    hits, rows = F.sum(is_congested_letter().cast("long")), F.count(F.lit(1))
+    time = ["DateTime"] if "DateTime" in los.columns else ["date", "period"]
+    sums = los.groupBy(*keys, *time).agg(hits.alias("_hits"), rows.alias("_rows"))
+    if time != ["DateTime"]:
+        sums = with_slot_time(sums)
+    if slug_of:
+        sums, keys = sums.withColumn("slug", slugs.slug(slug_of)), ["slug"]
+    share = F.sum("_hits") / F.sum("_rows")
+    return sums.groupBy(*keys, "DateTime").agg((share >= 0.5).cast("int").alias("is_congested"))
 
 
 def class_balance(slots: DataFrame, keys: Sequence[str] = ("street_name",)) -> DataFrame:

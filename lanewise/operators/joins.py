@@ -43,18 +43,14 @@ def asof_nearest(
     right_times = right.groupBy(*by, ts).agg(
         F.max_by(value, order).alias("_last"), F.min_by(value, order).alias("_first")
     )
-    buckets = F.array_distinct(
-        F.array(
-            cal.hour_floor(F.col(ts) - tol), cal.hour_floor(ts), cal.hour_floor(F.col(ts) + tol)
-        )
-    )
+    buckets = F.sequence(cal.hour_number(F.col(ts) - tol), cal.hour_number(F.col(ts) + tol))
     right_side = right_times.select(
         *by, ts, F.explode(buckets).alias("_bucket"), F.lit(0).alias("_side"), "_first", "_last"
     )
     left_side = left.select(*by, ts).distinct().select(
         *by,
         ts,
-        cal.hour_floor(ts).alias("_bucket"),
+        cal.hour_number(ts).alias("_bucket"),
         F.lit(1).alias("_side"),
         F.lit(None).cast(dict(right.dtypes)[value]).alias("_first"),
         F.lit(None).cast(dict(right.dtypes)[value]).alias("_last"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions import calendar as cal
@@ -17,15 +17,28 @@ from lanewise.functions import calendar as cal
 ROUTE = ("RouteId",)
 
 
+def group_by_hour(
+    df: DataFrame, keys: Sequence[str], ts: str, aggregates: Sequence[Column]
+) -> DataFrame:
+    """Aggregate per series and hour of the clock.
+
+    Rows are grouped by date and hour number, which are cheap to take from a timestamp; the hour
+    mark is put together afterwards, once per group.
+    """
+    grouped = df.groupBy(
+        *keys, F.to_date(ts).alias("_day"), F.hour(ts).alias("_hour")
+    ).agg(*aggregates)
+    others = [c for c in grouped.columns if c not in (*keys, "_day", "_hour")]
+    mark = cal.plus_hours(F.col("_day").cast("timestamp_ntz"), F.col("_hour"))
+    return grouped.select(*keys, mark.alias(ts), *others)
+
+
 def hourly_mean(
     obs: DataFrame, keys: Sequence[str] = ROUTE, ts: str = "DateTime", value: str = "Vehicles"
 ) -> DataFrame:
     """Mean per series and hour; hours without a value are absent."""
-    return (
-        obs.groupBy(*keys, cal.hour_floor(ts).alias(ts))
-        .agg(F.avg(value).alias(value))
-        .where(F.col(value).isNotNull())
-    )
+    means = group_by_hour(obs, keys, ts, [F.avg(value).alias(value)])
+    return means.where(F.col(value).isNotNull())
 
 
 def hourly_grid(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lanewise.functions import calendar as cal
 from lanewise.operators.filters import last_month
 from lanewise.operators.joins import on_hour_spine
+from lanewise.operators.resample import group_by_hour
 
 # Names of the numbered zones.
 ZONE_NAMES = {1: "North", 2: "South", 3: "East", 4: "West"}
@@ -107,9 +108,7 @@ def collapse_hours(
     forecast: DataFrame, values: Sequence[str], keys: Sequence[str] = ("RouteId",)
 ) -> DataFrame:
     """Average forecasts that fall in the same hour."""
-    return forecast.groupBy(*keys, cal.hour_floor("DateTime").alias("DateTime")).agg(
-        *[F.avg(c).alias(c) for c in values]
-    )
+    return group_by_hour(forecast, keys, "DateTime", [F.avg(c).alias(c) for c in values])
 
 
 def day_summary(

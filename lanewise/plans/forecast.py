@@ -38,11 +38,9 @@ BASELINE = "baseline"
 def hourly_totals(obs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Sum, count and mean per hour: one pass that serves hourly and daily consumers."""
     value = F.col("Vehicles")
-    return (
-        obs.groupBy(*keys, cal.hour_floor("DateTime").alias("DateTime"))
-        .agg(F.sum(value).alias("Total"), F.count(value).alias("Rows"), F.avg(value).alias("Vehicles"))
-        .where(value.isNotNull())
-    )
+    parts = [F.sum(value).alias("Total"), F.count(value).alias("Rows"), F.avg(value).alias("Vehicles")]
+    totals = resample.group_by_hour(obs, keys, "DateTime", parts)
+    return totals.where(F.col("Vehicles").isNotNull())
 
 
 def history_stats(

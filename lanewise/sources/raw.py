@@ -60,8 +60,11 @@ def read_bridge(
     return wide_to_observations(read_csv(spark, path), columns or BRIDGE_COLUMNS)
 
 
-def read_level_of_service(spark: SparkSession, path: str) -> DataFrame:
-    """Street rows with their slot time. A file without the needed columns is an error."""
+def read_level_of_service(spark: SparkSession, path: str, slot_time: bool = True) -> DataFrame:
+    """Street rows with their slot time. A file without the needed columns is an error.
+
+    ``congested_slots`` parses times itself, once per slot; read without them for it.
+    """
     raw = read_csv(spark, path)
     missing = {"date", "period", "street_name", "LOS"} - set(raw.columns)
     if missing:
@@ -70,7 +73,7 @@ def read_level_of_service(spark: SparkSession, path: str) -> DataFrame:
         c for c in ("lat_snode", "long_snode", "lat_enode", "long_enode") if c in raw.columns
     ]
     typed = raw.withColumns({c: cal.number(c) for c in numbers})
-    return congestion.with_slot_time(typed)
+    return congestion.with_slot_time(typed) if slot_time else typed
 
 
 def read_level_of_service_declared(spark: SparkSession, path: str) -> DataFrame:
