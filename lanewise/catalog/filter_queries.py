@@ -82,12 +82,12 @@ def flt_04_routes(spark, sf):
 
 @query("flt_05_routes_of_city", sql("""
 SELECT 'all' AS asked, city, zone, route_id FROM geo WHERE city = 'ASIA'
-UNION ALL SELECT 'zone', city, zone, route_id FROM geo WHERE city = 'ASIA' AND zone = 'CHINA'
+UNION ALL SELECT 'zone', city, zone, route_id FROM geo WHERE city = 'ASIA' AND zone = 'NATION_7'
 """, "geo"))
 def flt_05(spark, sf):
     geo = t.geo(spark, sf).select("city", "zone", "route_id")
     city = filters.in_city_zone(geo, "ASIA", "(All)", "city", "zone")
-    zone = filters.in_city_zone(geo, "ASIA", "CHINA", "city", "zone")
+    zone = filters.in_city_zone(geo, "ASIA", "NATION_7", "city", "zone")
     return shape.union_all(
         [city.select(F.lit("all").alias("asked"), "*"), zone.select(F.lit("zone").alias("asked"), "*")]
     )
@@ -168,24 +168,24 @@ def flt_10_years(spark, sf):
     )
 
 
-@query("flt_11_find_route", sql("SELECT * FROM geo WHERE route_id = 'united kingdom'", "geo"))
+@query("flt_11_find_route", sql("SELECT * FROM geo WHERE route_id = 'nation_12'", "geo"))
 def flt_11(spark, sf):
     padded = t.geo(spark, sf).withColumn("route_id", F.concat(F.lit("  "), F.upper("route_id")))
-    found = filters.find_route(padded, " United Kingdom ")
+    found = filters.find_route(padded, " Nation_12 ")
     return found.withColumn("route_id", F.lower(F.trim("route_id")))
 
 
 def _registry(spark, sf):
-    """Families named by city and zone for nations A to F, and by city for Asia."""
+    """Families named by city and zone for some zones, and by city for Asia."""
     geo = t.geo(spark, sf)
-    zones = geo.where(F.col("zone") < "G").select(
+    zones = geo.where(F.col("zone") < "NATION_2").select(
         F.replace(F.concat_ws("_", "city", "zone"), F.lit(" "), F.lit("_")).alias("family")
     )
     return zones.unionByName(geo.where("city = 'ASIA'").select(F.col("city").alias("family")).distinct())
 
 
 @query("flt_12_resolve_family", sql(f"""
-SELECT city, zone, CASE WHEN zone < 'G' THEN replace(city || '_' || zone, ' ', '_')
+SELECT city, zone, CASE WHEN zone < 'NATION_2' THEN replace(city || '_' || zone, ' ', '_')
                         WHEN city = 'ASIA' THEN 'ASIA' END AS family
 FROM geo
 """, "geo"))
@@ -210,9 +210,9 @@ def flt_12_training(spark, sf):
 
 @query("flt_13_zone_fallback", sql("""
 SELECT city, '(All)' AS zone,
-       CASE WHEN city = 'ASIA' THEN '(All)' ELSE coalesce(min(zone) FILTER (zone < 'G'), '(All)') END AS zone_used,
+       CASE WHEN city = 'ASIA' THEN '(All)' ELSE coalesce(min(zone) FILTER (zone < 'NATION_2'), '(All)') END AS zone_used,
        CASE WHEN city = 'ASIA' THEN 'ASIA'
-            ELSE replace(city || '_' || min(zone) FILTER (zone < 'G'), ' ', '_') END AS family
+            ELSE replace(city || '_' || min(zone) FILTER (zone < 'NATION_2'), ' ', '_') END AS family
 FROM geo GROUP BY city
 """, "geo"))
 def flt_13(spark, sf):
