@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -79,7 +80,7 @@ def main():
     sf_dir, *only = sys.argv[1:]
     spark = build_session("local[8]", **{
         "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
-        "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC",
+        "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": os.environ.get("COMPARE_ZONE", "UTC"),
     })
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
