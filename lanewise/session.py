@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,24 +31,27 @@ def build_session(master: str | None = None, app: str = "lanewise", **conf) -> S
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder for intermediate data: ``spark.checkpoint.dir``, else one in the warehouse.
 
-    A local session without the setting gets a temporary folder; a cluster session
-    without it is an error, because executors cannot see the driver's disk.
+    Both are places that a cluster's driver and executors share. Which one it is depends on the
+    setting alone, never on the kind of master.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="lanewise-")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lanewise-scratch"
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder for a table written and read back."""
-    return f"{shared_folder(spark).rstrip('/')}/lanewise-{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, removed when the application ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/lanewise-{label}-{uuid.uuid4().hex}"
+    if spark._jvm is not None:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        system.deleteOnExit(target)
+    return path
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
