@@ -2,12 +2,13 @@
 
 Two sets whose Jaccard similarity is at least t differ in at most (|x|+|y|)(1-t)/(1+t) elements.
 Sets are dealt into bands by size; a band fixes the most elements D in which a linked pair of it
-can differ, and hashes the universe into a little more than D+1 segments. Each segment i of a
-band is worth a_i in {0, 1, 2}: skipped, indexed whole, or indexed whole and with every single
-element deleted. With sum(a_i) = D+1 a linked pair must agree in one segment whose difference is
-below its worth (pigeonhole), so every linked pair shares a key. The worths are chosen by cost:
-keys written plus pairs met, estimated on a bounded sample; they change the work, never the
-result.
+can differ, and hashes the universe into a little more than D+1 segments. Each segment i is worth
+a_i in {0, 1, 2}: skipped, indexed whole, or indexed whole and with every single element deleted.
+With sum(a_i) = D+1 a linked pair must agree in one segment whose difference is below its worth
+(pigeonhole), so every linked pair shares a key. A band orders the steps of worth by cost (keys
+written plus pairs met, estimated on a bounded sample) and a set takes as many from the front as
+its own size asks for; both sets of a pair take at least those that the smaller one needs. The
+order changes the work, never the result.
 
 Equal sets collapse to one class first. Inside one key's bucket the pairs are never written out:
 the members are first compared with the bucket's smallest member only; what is left to compare is
@@ -77,16 +78,15 @@ def band_top(number: int) -> int:
     return top
 
 
-def band_need(number: int, rule: Rule) -> int:
-    """D + 1 for the band: its sets meet partners of up to size / t."""
-    top = band_top(number)
-    return rule.most_different(top, top * 100 // rule.percent) + 1
+def need(size: int, rule: Rule) -> int:
+    """D + 1 for a set of this size and partners of up to size / t."""
+    return rule.most_different(size, size * 100 // rule.percent) + 1
 
 
 def segments(number: int, rule: Rule) -> int:
-    """Segments of a band: an eighth more than needed, so that costly ones can be skipped."""
-    need = band_need(number, rule)
-    return need + need // 8
+    """Segments of a band: an eighth more than its largest sets need, so that some can be skipped."""
+    most = need(band_top(number), rule)
+    return most + most // 8
 
 
 def bands_met(size: int, rule: Rule) -> list[int]:
@@ -112,18 +112,29 @@ def segment_keys(s, number: int, rule: Rule):
     return keys, edge[1:] - edge[:-1], less, seg
 
 
-def allocate(equal, deleted, need: int) -> np.ndarray:
-    """Worths of the least total cost that add up to ``need``.
+def cheapest_steps(equal, deleted, steps: int) -> np.ndarray:
+    """Segments in the order in which a unit of worth costs least, ``steps`` of them.
 
-    ``equal`` and ``deleted`` are the costs of worth 1 and of worth 2. The steps are taken from
-    the cheapest on; a second step never costs less than the first, so order is kept.
+    ``equal`` and ``deleted`` are the costs of worth 1 and of worth 2. A second step is taken to
+    cost no less than the first, so it comes later.
     """
     equal = np.asarray(equal, float)
     second = np.maximum(np.asarray(deleted, float) - equal, equal)
     step = np.concatenate([equal, second])
     owner = np.tile(np.arange(len(equal)), 2)
-    order = np.lexsort((np.arange(len(step)), step))[:need]
-    return np.bincount(owner[order], minlength=len(equal)).astype(np.int8)
+    return owner[np.lexsort((np.arange(len(step)), step))[:steps]]
+
+
+def bucket_keys(s, rule: Rule, orders: dict[int, np.ndarray]):
+    """All keys under which a set is filed."""
+    keys = []
+    for number in bands_met(len(s), rule):
+        m = segments(number, rule)
+        steps = need(min(len(s), band_top(number)), rule)
+        worth = np.bincount(orders.get(number, np.arange(m))[:steps], minlength=m)
+        whole, _, less, seg = segment_keys(s, number, rule)
+        keys += [whole[worth > 0], less[worth[seg] > 1]]
+    return np.concatenate(keys).view(np.int64)
 
 
 def _sketch(s) -> np.ndarray:
@@ -132,40 +143,40 @@ def _sketch(s) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
-def _index(docs: DataFrame, rule: Rule, worths: dict[int, np.ndarray]) -> DataFrame:
-    """Per document: set size, 128-bit set hash, sketch and bucket keys."""
+def _index(docs: DataFrame, rule: Rule, orders: dict[int, np.ndarray]) -> DataFrame:
+    """Per document: set size and 128-bit set hash; sketch and keys at the first of equal sets.
+
+    A task files equal sets once, so copies, however many, add at most a row per key and task.
+    """
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()),
          ("sketch", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))]
     )
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filed = set()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
                 s = shingle_set(text.as_py(), rule.words)
-                if not len(s):
-                    rows.append((doc_id, 0, 0, 0, None, None))
-                    continue
-                keys = []
-                for number in bands_met(len(s), rule):
-                    worth = worths.get(number)
-                    if worth is None:
-                        worth = np.r_[np.ones(band_need(number, rule), np.int8), np.zeros(segments(number, rule) - band_need(number, rule), np.int8)]
-                    whole, _, less, seg = segment_keys(s, number, rule)
-                    keys += [whole[worth > 0], less[worth[seg] > 1]]
                 with np.errstate(over="ignore"):
                     h1, h2 = mix64(s).sum(dtype=np.uint64), mix64(s * _ODD + np.uint64(1)).sum(dtype=np.uint64)
-                rows.append((doc_id, len(s), h1.astype(np.int64), h2.astype(np.int64), _sketch(s), np.concatenate(keys).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                row = (doc_id, len(s), int(h1.astype(np.int64)), int(h2.astype(np.int64)))
+                if not len(s) or doc_id is None or row[1:] in filed:
+                    rows.append((*row, None, None))
+                    continue
+                filed.add(row[1:])
+                rows.append((*row, _sketch(s), bucket_keys(s, rule, orders)))
+            columns = list(zip(*rows)) or [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(
         index, "doc_id long, n long, h1 long, h2 long, sketch array<long>, keys array<long>"
     )
 
 
-def worths_by_cost(docs: DataFrame, rule: Rule, sample: int = 4000) -> dict[int, np.ndarray]:
-    """Segment worths per band from about ``sample`` documents (a hash of the id picks them).
+def orders_by_cost(docs: DataFrame, rule: Rule, sample: int = 4000) -> dict[int, np.ndarray]:
+    """Order of worth steps per band from about ``sample`` documents (a hash of the id picks them).
 
     The statistics collected are two numbers per segment and band: at most a third of the longest
     document's words, whatever the number of documents.
@@ -199,18 +210,18 @@ def worths_by_cost(docs: DataFrame, rule: Rule, sample: int = 4000) -> dict[int,
         .toPandas()
     )
     buckets["cost"] = buckets["rows"] / rate + buckets["pairs"] / rate**2
-    worths = {}
+    orders = {}
     for number, part in buckets.groupby("band"):
         m = segments(int(number), rule)
         cost = np.zeros((2, m))
         cost[part["deleted"].astype(int), part["seg"]] = part["cost"]
-        worths[int(number)] = allocate(cost[0], cost[0] + cost[1], band_need(int(number), rule))
-    return worths
+        orders[int(number)] = cheapest_steps(cost[0], cost[0] + cost[1], m)
+    return orders
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs whose sizes and sketches leave a link possible."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    """Document ids of the pairs of nodes whose sizes and sketches leave a link possible."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     distance = sum(
         (F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(SKETCH_WORDS)), F.lit(0)
     )
@@ -218,7 +229,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     return (
         pairs.join(side("a"), "a").join(side("b"), "b")
         .where((distance <= most) & (F.abs(F.col("na") - F.col("nb")) <= most))
-        .select("a", "b")
+        .select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     )
 
 
@@ -254,22 +265,22 @@ def _across(crowded: DataFrame, nodes: DataFrame, labels: DataFrame, rule: Rule)
     Buckets are cut into blocks of about ``BLOCK`` members; a task holds two blocks at a time and
     writes only pairs that sizes and sketches leave possible.
     """
-    told = (
-        crowded.join(labels, crowded["node"] == labels["member"], "left")
-        .select("key", "node", F.coalesce("component", "node").alias("component"))
-    )
+    known = nodes.join(labels, nodes["root"] == labels["member"], "left").select(
+        "node", "root", "n", "sketch", F.coalesce("component", "root").alias("component")
+    )
+    told = crowded.join(known.select("node", "root", "component"), "node")
     open_keys = (
         told.groupBy("key")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c"))
         .where("low < high")
         .select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     )
-    rows = told.join(open_keys, "key").join(nodes, "node")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = told.join(open_keys, "key").join(nodes.select("node", "root", "n", "sketch"), ["node", "root"])
+    mine = F.pmod(F.xxhash64("root"), F.col("blocks")).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(
         "key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine",
-        "node", "component", "n", "sketch",
+        "root", "component", "n", "sketch",
     )
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -277,9 +288,9 @@ def _across(crowded: DataFrame, nodes: DataFrame, labels: DataFrame, rule: Rule)
         left = group[group["mine"] == x]
         right = group[group["mine"] == y]
         sketch = np.stack(right["sketch"].to_numpy()).view(np.uint64) if len(right) else np.zeros((0, SKETCH_WORDS), np.uint64)
-        n, component, node = (right[c].to_numpy() for c in ("n", "component", "node"))
+        n, component, node = (right[c].to_numpy() for c in ("n", "component", "root"))
         a, b = [], []
-        for size, own, name, bits in zip(left["n"], left["component"], left["node"], left["sketch"]):
+        for size, own, name, bits in zip(left["n"], left["component"], left["root"], left["sketch"]):
             most = rule.most_different(n + size, 0)
             apart = np.bitwise_count(sketch ^ np.asarray(bits).view(np.uint64)).sum(1)
             hit = (apart <= most) & (np.abs(n - size) <= most) & (component != own)
@@ -300,15 +311,19 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id",
     are one document with several sets. Other columns are ignored.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    index = stored(_index(docs, rule, worths_by_cost(docs, rule, cost_sample)), "shingles")
+    index = stored(_index(docs, rule, orders_by_cost(docs, rule, cost_sample)), "shingles")
     sized = index.where("n > 0 AND doc_id IS NOT NULL")
-    classes = sized.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("root"))
-    members = stored(sized.select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).select("doc_id", "n", "root"), "classes")
-    roots = stored(members.where("doc_id = root").select("root").distinct(), "roots")
-    held = index.join(roots, index["doc_id"] == roots["root"], "left_semi")
-    nodes = held.where("n > 0").select(F.col("doc_id").alias("node"), "n", "sketch")
+    # the node of a set in the buckets is half of its hash; two sets of one half are both looked at
+    nodes = stored(
+        sized.groupBy("h1", "h2", "n")
+        .agg(F.min("doc_id").alias("root"), F.first("sketch", ignorenulls=True).alias("sketch"))
+        .withColumnRenamed("h1", "node"),
+        "nodes",
+    )
+    classes = nodes.select(F.col("node").alias("h1"), "h2", "n", "root")
+    members = stored(sized.select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).select("doc_id", "root"), "members")
 
-    rows = held.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node")).repartition("key")
+    rows = index.select(F.explode("keys").alias("key"), F.col("h1").alias("node")).repartition("key")
     buckets = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top")
     crowded = stored(rows.join(buckets.select("key", "hub"), "key").select("key", "hub", "node").distinct(), "crowded")
     same_id = members.where("doc_id <> root").select(F.col("root").alias("a"), F.col("doc_id").alias("b"))

@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm import embeddings, jaccard, langid, secret_scan, warc
+from lanewise.llm import (
+    decontaminate,
+    embeddings,
+    jaccard,
+    langid,
+    line_dedup,
+    mixing,
+    secret_scan,
+    surrogates,
+    warc,
+)
 from lanewise.llm.common import crc_bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +135,29 @@ FROM embeddings LEFT JOIN m ON m.a = vec_id LEFT JOIN c ON c.a = vec_id
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of embeddings of one label with a cosine of 0.93 or more."""
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@_query()
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of benchmark items in the documents."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query()
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an earlier document or line has."""
+    return line_dedup.drop_repeats(table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to 3 : 1 : 2 over the sources, half as many words again as there are."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "copies", "rate"
+    )
+
+
+@_query()
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced."""
+    return surrogates.pseudonymise(table(spark, sf_dir, "documents"), key="lanewise")

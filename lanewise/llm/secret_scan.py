@@ -225,31 +225,56 @@ def spans(text: Column, rule: Rule) -> Column:
     return F.aggregate(step, start, lambda s, p: F.struct((s["at"] + p["n"]).alias("at"), kept(s, p).alias("out")), lambda s: s["out"])
 
 
-def scan(docs: DataFrame, rules: list[Rule] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(
+    docs: DataFrame,
+    rules: list[Rule] | None = None,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    keep: bool = False,
+) -> DataFrame:
     """``doc_id``, ``text`` and an array ``spans_<kind>`` per rule, one row per input row.
 
-    A null text counts as empty; ids may be null or repeated; other columns are ignored. Row keys
-    hash id and text: rows that share one share their postings, which can only add candidates.
+    A null text counts as empty; ids may be null or repeated. Row keys hash id and text: rows that
+    share one share their postings, which can only add candidates. Other columns are left out, or
+    carried along with ``keep``; then a column named like one of the results is replaced.
     """
     rules = rules or BASE_RULES + MORE_RULES
-    queries = {r.kind: q for r in rules if _ANY != (q := trigram_query(r.pattern)) and q and frozenset() not in q}
+    queries = {r.kind: q for r in rules if frozenset() not in (q := trigram_query(r.pattern)) and q}
     trigrams = sorted({t for q in queries.values() for a in q for t in a})
+    clean = F.translate(F.coalesce(F.col("text"), F.lit("")), MARK, STAND_IN)
+    rest = [c for c in docs.columns if keep and c not in (doc_id, text)]
     rows = docs.select(
+        F.struct(*rest, F.lit(1).alias("__one")).alias("rest"),
         F.col(doc_id).alias("doc_id"),
-        F.translate(F.coalesce(F.col(text), F.lit("")), MARK, STAND_IN).alias("text"),
-        F.col(text).alias("original"),
-    ).withColumn("row_key", F.xxhash64("doc_id", "text"))
+        F.col(text).alias("text"),
+        F.xxhash64(doc_id, text).alias("row_key"),
+    )
     found = rows
     if trigrams:
         postings = stored(build_index(rows, trigrams), "postings")
         found = rows.join(candidates(postings, trigrams, queries), "row_key", "left")
     none = F.expr("cast(array() as array<struct<start:int,kind:string,end:int>>)")
-    out = []
+    out = {}
     for r in rules:
-        hit = F.col("text").rlike(r.pattern.replace(r"\x20", " "))
+        hit = clean.rlike(r.pattern.replace(r"\x20", " "))
         may = F.coalesce(F.col(f"may_{r.kind}"), F.lit(False)) if r.kind in queries else F.lit(True)
-        out.append(F.when(may & hit, spans(F.col("text"), r)).otherwise(none).alias(f"spans_{r.kind}"))
-    return found.select("doc_id", F.col("original").alias("text"), *out)
+        out[f"spans_{r.kind}"] = F.when(may & hit, spans(clean, r)).otherwise(none)
+    carried = [F.col(f"rest.`{c}`").alias(c) for c in rest if c not in out and c not in ("doc_id", "text")]
+    return found.select("doc_id", "text", *carried, *[c.alias(k) for k, c in out.items()])
+
+
+def masked(text: Column, kinds: list[str], sign: str = "[secret]") -> Column:
+    """The text with every found span replaced; overlapping spans become one sign. Null stays null."""
+    ranked = F.array_sort(F.concat(*[F.transform(f"spans_{k}", lambda s: F.struct(s["start"], s["end"])) for k in kinds]))
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda s, x: F.struct(
+        F.greatest(s["at"], x["end"]).alias("at"),
+        F.when(x["start"] < s["at"], s["out"])
+        .otherwise(F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(sign)))
+        .alias("out"),
+    )
+    done = F.aggregate(ranked, begin, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return F.when(F.size(ranked) > 0, done).otherwise(text)
 
 
 def joined(kinds: list[str]) -> Column:
