@@ -11,6 +11,7 @@ from lanewise.llm import (
     decontaminate,
     embeddings,
     jaccard,
+    katz,
     langid,
     line_dedup,
     mixing,
@@ -161,3 +162,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced."""
     return surrogates.pseudonymise(table(spark, sf_dir, "documents"), key="lanewise")
+
+
+@_query()
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a bigram model of the documents whose id's crc32 is no multiple of 10."""
+    return katz.score_documents(table(spark, sf_dir, "documents"), crc_bucket("doc_id", 10) == 0)
