@@ -32,11 +32,12 @@ from lanewise.llm.common import mix64, word_hashes, words_of
 from lanewise.session import stored
 
 K = 5
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 600_000
 PART_TOKENS = 2_000_000
 SPLIT_HISTORY = 200_000
 START, END = np.uint64(1), np.uint64(2)  # never a word: their hashes are replaced
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_LOW48 = np.uint64((1 << 48) - 1)  # bits of a word that tell it from others after one history
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -202,18 +203,17 @@ def _layout(row, parts: int, start_count: int, limit: int):
     h, w, place, pair_counts = _local_pairs(lengths, tokens, held, len(vocab))
     keys, every = np.append(vocab, START), np.append(counts, np.uint64(start_count))
     part = _pair_parts(keys[h], keys[w], every[h], parts, limit)
-    with np.errstate(over="ignore"):
-        pair_key = mix64(keys[h] * _ODD + mix64(keys[w]))
-    order = np.lexsort((pair_key, part))
-    return vocab, lengths, held, counts, keys, every, h, w, place, pair_counts, part, pair_key, order
+    word = mix64(keys[w]) & _LOW48
+    order = np.lexsort((word, keys[h], part))
+    return vocab, lengths, held, counts, keys, every, h, w, place, pair_counts, part, word, order
 
 
 def _answer_pairs(group: pd.DataFrame, uni: Unigrams) -> pd.DataFrame:
     """Counts of the asked pairs, and sums over the words seen after the histories in doubt."""
-    pairs = [unpack_sorted(x) for x in group["pairs"]]
-    cuts = np.cumsum([len(x) for x in pairs])[:-1]
-    h = np.concatenate([unpack_sorted(hs)[unpack(i, np.uint32)] for hs, i in zip(group["histories"], group["h_at"])])
-    keys, first, place = np.unique(np.concatenate(pairs), return_index=True, return_inverse=True)
+    words = [np.cumsum(unpack(x, np.uint64), dtype=np.uint64) & _LOW48 for x in group["words"]]
+    cuts = np.cumsum([len(x) for x in words])[:-1]
+    h = np.concatenate([np.repeat(unpack_sorted(x), unpack(n, np.uint32)) for x, n in zip(group["histories"], group["runs"])])
+    keys, first, place = np.unique(mix64(h * _ODD + np.concatenate(words)), return_index=True, return_inverse=True)
     asked = np.concatenate([unpack(c, np.uint32) for c in group["counts"]])
     total = np.bincount(place, asked, len(keys)).astype(np.uint64)
     p_word = uni(np.concatenate([unpack(c, np.uint64) for c in group["w_counts"]]))[first]
@@ -271,17 +271,19 @@ def score_documents(
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                vocab, _, _, counts, keys, every, h, w, _, pair_counts, part, pair_key, order = _layout(row, parts, train_docs, split_history)
-                for p in np.unique(part):
-                    mine = order[np.searchsorted(part[order], p) : np.searchsorted(part[order], p, "right")]
-                    names, at = np.unique(keys[h[mine]], return_inverse=True)
+                _, _, _, _, keys, every, h, w, _, pair_counts, part, word, order = _layout(row, parts, train_docs, split_history)
+                ends = np.searchsorted(part[order], np.arange(parts + 1))
+                for p in np.flatnonzero(np.diff(ends)):
+                    mine = order[ends[p] : ends[p + 1]]
+                    names, runs = np.unique(keys[h[mine]], return_counts=True)
+                    steps = np.diff(word[mine], prepend=np.uint64(0)) & _LOW48
                     yield pd.DataFrame(
-                        [(int(p), row.chunk, pack_sorted(pair_key[mine]), pack_sorted(names), pack(at.astype(np.uint32)), pack(pair_counts[mine]),
+                        [(int(p), row.chunk, pack(steps), pack_sorted(names), pack(runs.astype(np.uint32)), pack(pair_counts[mine]),
                           pack(every[w[mine]]), pack((every[h[mine]] > split_history).astype(np.uint8)))],
-                        columns=["part", "chunk", "pairs", "histories", "h_at", "counts", "w_counts", "often"],
+                        columns=["part", "chunk", "words", "histories", "runs", "counts", "w_counts", "often"],
                     )
 
-    asked = full.mapInPandas(ask, "part int, chunk string, pairs binary, histories binary, h_at binary, counts binary, w_counts binary, often binary")
+    asked = full.mapInPandas(ask, "part int, chunk string, words binary, histories binary, runs binary, counts binary, w_counts binary, often binary")
     pairs = stored(
         asked.groupBy("part").applyInPandas(
             lambda g: _answer_pairs(g, told.value), "chunk string, part int, answer binary, few array<long>, doubt binary, names binary, sums binary"
