@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.llm.common import mix64, word_hashes, words_of
@@ -33,6 +33,7 @@ from lanewise.session import stored
 
 BAND_RATIO = 1.5
 SKETCH_WORDS = 8
+SHINGLES_PER_BIT = 2
 BLOCK = 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -138,11 +139,29 @@ def bucket_keys(s, rule: Rule, orders: dict[int, np.ndarray]):
 
 
 def _sketch(s) -> np.ndarray:
-    bit = (mix64(s ^ _ODD) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64)
-    parity = np.bincount(bit, minlength=64 * SKETCH_WORDS) & 1
+    """Parities of the set's elements over a power of two of bits that follows its size."""
+    words = SKETCH_WORDS
+    while 64 * words * SHINGLES_PER_BIT < len(s):
+        words *= 2
+    bit = (mix64(s ^ _ODD) % np.uint64(64 * words)).astype(np.int64)
+    parity = np.bincount(bit, minlength=64 * words) & 1
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
+def _distance(a: str, b: str) -> str:
+    """SQL for the Hamming distance of two sketches; the longer is folded onto the shorter."""
+    fold = lambda x, y: f"transform(sequence(0, size({y}) - 1), i -> aggregate(sequence(i, size({x}) - 1, size({y})), 0L, (u, j) -> u ^ {x}[j]))"
+    first = f"CASE WHEN size({a}) > size({b}) THEN {fold(a, b)} ELSE {a} END"
+    second = f"CASE WHEN size({b}) > size({a}) THEN {fold(b, a)} ELSE {b} END"
+    return f"aggregate(zip_with({first}, {second}, (p, q) -> bit_count(p ^ q)), 0, (t, d) -> t + d)"
+
+
+def _may_link(a: str, b: str, rule: Rule) -> Column:
+    """Whether two sides with columns ``n`` and ``sketch`` can link; the sizes are asked first."""
+    most = f"((n{a} + n{b}) * {100 - rule.percent}) div {100 + rule.percent}"
+    return F.expr(f"abs(n{a} - n{b}) <= {most} AND {_distance('s' + a, 's' + b)} <= {most}")
+
+
 def _index(docs: DataFrame, rule: Rule, orders: dict[int, np.ndarray]) -> DataFrame:
     """Per document: set size and 128-bit set hash; sketch and keys at the first of equal sets.
 
@@ -222,15 +241,8 @@ def orders_by_cost(docs: DataFrame, rule: Rule, sample: int = 4000) -> dict[int,
 def _possible(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """Document ids of the pairs of nodes whose sizes and sketches leave a link possible."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    distance = sum(
-        (F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(SKETCH_WORDS)), F.lit(0)
-    )
-    most = F.floor((F.col("na") + F.col("nb")) * F.lit(100 - rule.percent) / F.lit(100 + rule.percent))
-    return (
-        pairs.join(side("a"), "a").join(side("b"), "b")
-        .where((distance <= most) & (F.abs(F.col("na") - F.col("nb")) <= most))
-        .select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    )
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link("a", "b", rule))
+    return both.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
@@ -262,8 +274,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
 def _across(crowded: DataFrame, nodes: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
     """Possible pairs that share a bucket and lie in different components.
 
-    Buckets are cut into blocks of about ``BLOCK`` members; a task holds two blocks at a time and
-    writes only pairs that sizes and sketches leave possible.
+    Buckets are cut into blocks of about ``BLOCK`` members that meet each other once, in a join
+    whose condition holds the size and sketch tests, so pairs that fail them never become rows.
     """
     known = nodes.join(labels, nodes["root"] == labels["member"], "left").select(
         "node", "root", "n", "sketch", F.coalesce("component", "root").alias("component")
@@ -276,31 +288,14 @@ def _across(crowded: DataFrame, nodes: DataFrame, labels: DataFrame, rule: Rule)
         .select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     )
     rows = told.join(open_keys, "key").join(nodes.select("node", "root", "n", "sketch"), ["node", "root"])
-    mine = F.pmod(F.xxhash64("root"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(
-        "key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine",
-        "root", "component", "n", "sketch",
-    )
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = int(group["x"].iloc[0]), int(group["y"].iloc[0])
-        left = group[group["mine"] == x]
-        right = group[group["mine"] == y]
-        sketch = np.stack(right["sketch"].to_numpy()).view(np.uint64) if len(right) else np.zeros((0, SKETCH_WORDS), np.uint64)
-        n, component, node = (right[c].to_numpy() for c in ("n", "component", "root"))
-        a, b = [], []
-        for size, own, name, bits in zip(left["n"], left["component"], left["root"], left["sketch"]):
-            most = rule.most_different(n + size, 0)
-            apart = np.bitwise_count(sketch ^ np.asarray(bits).view(np.uint64)).sum(1)
-            hit = (apart <= most) & (np.abs(n - size) <= most) & (component != own)
-            if x == y:
-                hit &= node > name
-            a += [name] * int(hit.sum())
-            b += node[hit].tolist()
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype="int64")
-
-    return rows.groupBy("key", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("root"), F.col("blocks")).cast("int"))
+    side = lambda x: [F.col(c).alias(c[0] + x) for c in ("root", "component", "n", "sketch")]
+    left = rows.select("key", "block", F.explode(F.sequence(F.lit(0), "block")).alias("other"), *side("a"))
+    right = rows.select(F.col("key").alias("k"), F.col("block").alias("o"), *side("b"))
+    met = (F.col("key") == F.col("k")) & (F.col("other") == F.col("o"))
+    order = (F.col("block") != F.col("other")) | (F.col("ra") < F.col("rb"))
+    pairs = left.join(right, met & order & (F.col("ca") != F.col("cb")) & _may_link("a", "b", rule))
+    return pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
 
 def similar_groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text", cost_sample: int = 4000) -> DataFrame:
