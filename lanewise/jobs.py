@@ -64,8 +64,8 @@ def run_backtest(spark: SparkSession, args) -> None:
 
 
 def predict(spark: SparkSession, args) -> None:
-    """A forecast for every route on every day, as CSV."""
-    artifacts.write_predictions(fc.batch_forecast(_observations(spark, args)), args.out)
+    """A forecast for every route of every city and zone on every day, as CSV."""
+    artifacts.write_predictions(fc.batch_forecast(_observations(spark, args), keys=ROUTE), args.out)
 
 
 def _slots(spark: SparkSession, args) -> DataFrame:

@@ -60,8 +60,20 @@ def write_backtest_summaries(summaries: DataFrame, path: str, mode: str = "overw
 def read_metric_csv(
     spark: SparkSession, path: str, schema: T.StructType = schemas.STREET_METRICS_CSV
 ) -> DataFrame:
-    """Stored metrics, with or without a byte-order mark."""
-    return spark.read.option("header", "true").schema(schema).csv(path)
+    """Stored metrics by their header, in any order, with or without a byte-order mark.
+
+    A column that the file lacks is null, but for the optional ``status`` and ``model_type``,
+    which are left out.
+    """
+    rows = spark.read.option("header", "true").csv(path)
+    names = {c.lstrip("\ufeff"): c for c in rows.columns}
+    return rows.select(
+        *[
+            (F.col(f"`{names[f.name]}`") if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in schema
+            if f.name in names or f.name not in ("status", "model_type")
+        ]
+    )
 
 
 def trained_configs(metrics: DataFrame, default_model: str = "GRU") -> DataFrame:
@@ -103,9 +115,10 @@ def read_daily_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_predictions(predictions: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Predictions as CSV with a header, times to the microsecond."""
+    """Predictions as CSV with a header, times to the microsecond; City and Zone last if present."""
+    place = [c for c in ("City", "Zone") if c in predictions.columns]
     (
-        predictions.select(*schemas.PREDICTION_CSV.names)
+        predictions.select(*schemas.PREDICTION_CSV.names, *place)
         .write.mode(mode)
         .option("header", "true")
         .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")

@@ -4,41 +4,70 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lanewise import schemas
 from lanewise.operators import filters
 
 
+def _schema(reader, root: str, declared: T.StructType) -> T.StructType:
+    """The declared columns with the types that the files have; folder names stay text."""
+    try:
+        found = {f.name: f.dataType for f in reader.parquet(root).schema}
+    except AnalysisException:  # no file to tell the types
+        found = {}
+    names = declared.names
+    return T.StructType([
+        T.StructField(n, declared[n].dataType if n in ("City", "Zone") else found.get(n, declared[n].dataType))
+        for n in names
+    ])
+
+
+def _typed(rows: DataFrame) -> DataFrame:
+    """Counts as doubles, routes as text, times as clock readings; a long time is in nanoseconds."""
+    kinds = dict(rows.dtypes)
+    out = {}
+    if kinds["DateTime"] == "bigint":
+        out["DateTime"] = F.timestamp_micros(F.expr("DateTime div 1000")).cast("timestamp_ntz")
+    elif kinds["DateTime"] != "timestamp_ntz":
+        out["DateTime"] = F.expr("try_cast(DateTime AS timestamp_ntz)")
+    if kinds["Vehicles"] != "double":
+        out["Vehicles"] = F.expr("try_cast(Vehicles AS double)")
+    if kinds["RouteId"] != "string":
+        out["RouteId"] = F.col("RouteId").cast("string")
+    return rows.withColumns(out) if out else rows
+
+
 def read_observations(
-    spark: SparkSession, root: str, layout: str = "hive", skip_broken: bool = True
+    spark: SparkSession, root: str, layout: str = "hive", skip_broken: bool = False
 ) -> DataFrame:
-    """DateTime, RouteId, Vehicles, City, Zone of every readable file.
+    """DateTime, RouteId, Vehicles, City, Zone of every file.
 
     ``layout="hive"`` expects ``City=.../Zone=...`` folders and prunes them from filters.
     ``layout="plain"`` expects ``<city>/<zone>/`` folders and takes the names from the path.
-    A file without the required columns yields nulls, which cleaning drops; an unreadable file
-    is skipped.
+    Counts may be stored as integers, floats or text, routes as integers or text, times as clock
+    readings, zoned times, text or nanoseconds; all files of one root share their types. A file
+    without the required columns yields nulls, which cleaning drops. A file that cannot be read,
+    or whose types differ from the others', is an error unless ``skip_broken`` asks to leave it out.
     """
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
     reader = spark.read.option("ignoreCorruptFiles", str(skip_broken).lower())
     if layout == "hive":
-        return reader.schema(schemas.OBSERVATION_PARTITIONED).parquet(root)
+        return _typed(reader.schema(_schema(reader, root, schemas.OBSERVATION_PARTITIONED)).parquet(root))
     if layout != "plain":
         raise ValueError(f"unknown layout {layout!r}")
-    rows = (
-        reader.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.parquet")
-        .schema(schemas.OBSERVATION)
-        .parquet(root)
-    )
+    reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
     path = F.col("_metadata.file_path")
     parts = F.split(F.split_part(path, F.lit(f"{root.rstrip('/')}/"), F.lit(2)), "/")
-    return rows.select(
+    rows = reader.schema(_schema(reader, root, schemas.OBSERVATION)).parquet(root).select(
         "*",
         F.get(parts, F.lit(0)).alias("City"),
         F.when(F.size(parts) > 2, F.get(parts, F.lit(1))).alias("Zone"),
     )
+    return _typed(rows)
 
 
 def load_slice(
@@ -50,13 +79,14 @@ def load_slice(
     start=None,
     end=None,
     layout: str = "hive",
+    skip_broken: bool = False,
 ) -> DataFrame:
     """Clean observations of a city, zone, routes and half-open time range.
 
     All four conditions are plain column predicates: the folders are pruned, and route and time
     reach the parquet scan. Sort the result with ``orderBy`` only where a reader needs it.
     """
-    rows = filters.in_city_zone(read_observations(spark, root, layout), city, zone)
+    rows = filters.in_city_zone(read_observations(spark, root, layout, skip_broken), city, zone)
     rows = filters.in_time_range(filters.on_routes(rows, routes), start, end)
     return filters.clean_observations(rows).select("DateTime", "RouteId", "Vehicles")
 

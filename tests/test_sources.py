@@ -60,8 +60,42 @@ def test_plain_folders_broken_and_foreign_files(spark, tmp_path):
     rows.write.parquet(f"{root}/Seattle/Bridge")
     rows.select("RouteId").write.parquet(f"{root}/Seattle/Other")
     (root / "Seattle" / "Bridge" / "broken.parquet").write_bytes(b"not parquet")
-    got = observations.load_slice(spark, str(root), "Seattle", layout="plain").collect()
+    got = observations.load_slice(spark, str(root), "Seattle", layout="plain", skip_broken=True).collect()
     assert len(got) == 1
+    with pytest.raises(Exception, match="broken.parquet"):
+        observations.load_slice(spark, str(root), "Seattle", layout="plain").collect()
+
+
+@pytest.mark.parametrize("kind", ["int64", "text", "nanoseconds", "floats"])
+def test_files_of_other_types_lose_no_row(spark, tmp_path, kind):
+    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    times = pd.date_range("2024-01-01", periods=48, freq="h")
+    frame = pd.DataFrame({"DateTime": times, "RouteId": "r", "Vehicles": [float(k) for k in range(48)]})
+    if kind == "int64":
+        frame["Vehicles"], frame["RouteId"] = range(48), 7
+    if kind == "text":
+        frame["Vehicles"], frame["DateTime"] = frame["Vehicles"].astype(str), times.astype(str)
+    folder = tmp_path / "ds" / "City=C" / "Zone=01"
+    folder.mkdir(parents=True)
+    table = pa.Table.from_pandas(frame)
+    if kind == "nanoseconds":
+        table = table.set_column(0, "DateTime", pa.array(times, pa.timestamp("ns")))
+    if kind == "floats":
+        table = table.set_column(2, "Vehicles", table["Vehicles"].cast(pa.float32()))
+    pq.write_table(table, folder / "a.parquet", version="2.6")
+    got = observations.load_all(spark, str(tmp_path / "ds")).orderBy("DateTime").collect()
+    assert len(got) == 48 and got[5]["Vehicles"] == 5.0 and got[5]["DateTime"] == dt.datetime(2024, 1, 1, 5)
+    assert got[0]["Zone"] == "01"
+
+
+def test_metric_csv_is_read_by_header(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("slug,timesteps,street_name\nle_loi,90,Lê Lợi\n", encoding="utf-8")
+    rows = artifacts.read_metric_csv(spark, f"{tmp_path}/m.csv")
+    assert (rows.first()["street_name"], rows.first()["timesteps"], rows.first()["acc"]) == ("Lê Lợi", 90, None)
+    assert artifacts.trained_configs(rows).count() == 1
 
 
 def test_zones_that_look_like_numbers_stay_text(spark, tmp_path):
