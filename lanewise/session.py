@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(master: str | None = None, app: str = "lanewise", **conf) -> SparkSession:
     """A session with the settings the operators are written for.
@@ -61,8 +63,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     scanned once and a lost executor costs no recomputation of them. The files also give the
     planner the table's true size: it broadcasts the table only when it is under
     ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise, and it decides that before
-    it would start to shuffle the other, large side.
+    it would start to shuffle the other, large side. The shuffle files behind the table are
+    removed as soon as it is written; nothing reads them again.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
