@@ -74,4 +74,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_stored_at"] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by ``stored`` that no plan will read again; other tables stay."""
+    for df in tables:
+        path = df.__dict__.get("_stored_at")
+        if path is not None and df.sparkSession._jvm is not None:
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            target.getFileSystem(conf).delete(target, True)
