@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.session import stored
+from lanewise.session import discard, stored
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -41,6 +41,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
             .distinct()
         )
         large = stored(large, "large")
+        discard(now)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         now = stored(
@@ -50,6 +51,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
             .distinct(),
             "small",
         )
+        discard(large)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select("v").distinct()

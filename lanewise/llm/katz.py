@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.llm.common import mix64, word_hashes, words_of
-from lanewise.session import stored
+from lanewise.session import discard, stored
 
 K = 5
 CHUNK_TOKENS = 600_000
@@ -266,7 +266,8 @@ def score_documents(
     uni = Unigrams(total, few, distinct, few.get(0, 0))
     context = docs.sparkSession.sparkContext
     told = context.broadcast(uni)
-    full = _with_counts(chunks, words)
+    full = stored(_with_counts(chunks, words), "counted-chunks")
+    discard(chunks, words)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
