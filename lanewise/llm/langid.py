@@ -29,6 +29,7 @@ START = "▁"
 STRETCH = 32
 LONGEST_PIECE = 16
 CACHE_WORDS = 200_000
+SLICE_WORDS = 200_000
 UNKNOWN_CHAR = 1e-7
 _RUNS = re.compile(r"[^\W\d_]+")
 
@@ -105,8 +106,9 @@ class Lattice:
         for k, word in enumerate(words):
             groups.setdefault(len(word), []).append(k)
         for members in groups.values():
-            for at in range(0, len(members), 2048):
-                part = members[at : at + 2048]
+            step = max(1, 2048 * 16 // (len(words[members[0]]) + 1))
+            for at in range(0, len(members), step):
+                part = members[at : at + step]
                 hashes = self._hashes(*[START + words[k] for k in part])
                 place = np.searchsorted(self.hashes, hashes.ravel()).clip(max=self.none - 1)
                 ids = np.where(self.hashes[place] == hashes.ravel(), self.order[place], self.none)
@@ -234,6 +236,19 @@ def fit(
     return PieceModel(pieces, names, probs, np.log(seen / seen.sum()))
 
 
+def _slices(batch: pd.Series) -> Iterator[list[list[str]]]:
+    """The words of each text, in runs of texts with about ``SLICE_WORDS`` words in all."""
+    texts, size = [], 0
+    for text in batch:
+        texts.append(letter_words(text))
+        size += len(texts[-1])
+        if size >= SLICE_WORDS:
+            yield texts
+            texts, size = [], 0
+    if texts:
+        yield texts
+
+
 def identify(model: PieceModel, text: Column, spark) -> Column:
     """A struct ``(lang string, score double, log_prob double)`` per text.
 
@@ -250,26 +265,26 @@ def identify(model: PieceModel, text: Column, spark) -> Column:
         known: dict[str, int] = {}
         table = np.zeros((0, len(model.languages)))
         for batch in batches:
-            if len(known) > CACHE_WORDS:
-                known, table = {}, table[:0]
-            texts = [letter_words(t) for t in batch]
-            new = list({w for words in texts for w in words} - known.keys())
-            if new and model.languages:
-                logs = np.empty((len(new), len(model.languages)))
-                for part, ids in lattice.by_length(new):
-                    logs[part] = np.log(lattice.forward(lattice.arcs(ids, probs))[:, -1])
-                known.update(zip(new, range(len(table), len(table) + len(new))))
-                table = np.vstack([table, logs])
             out = []
-            for words in texts:
-                if not words or not model.languages:
-                    out.append(("und", 0.0, None))
-                    continue
-                logs = table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(0)
-                joint = logs + model.log_prior
-                best = int(joint.argmax())
-                score = 1.0 / np.exp(joint - joint[best]).sum()
-                out.append((model.languages[best], float(score), float(logs[best] / len(words))))
+            for texts in _slices(batch):
+                if len(known) > CACHE_WORDS:
+                    known, table = {}, table[:0]
+                new = list({w for words in texts for w in words} - known.keys())
+                if new and model.languages:
+                    logs = np.empty((len(new), len(model.languages)))
+                    for part, ids in lattice.by_length(new):
+                        logs[part] = np.log(lattice.forward(lattice.arcs(ids, probs))[:, -1])
+                    known.update(zip(new, range(len(table), len(table) + len(new))))
+                    table = np.vstack([table, logs])
+                for words in texts:
+                    if not words or not model.languages:
+                        out.append(("und", 0.0, None))
+                        continue
+                    logs = table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(0)
+                    joint = logs + model.log_prior
+                    best = int(joint.argmax())
+                    score = 1.0 / np.exp(joint - joint[best]).sum()
+                    out.append((model.languages[best], float(score), float(logs[best] / len(words))))
             yield pd.DataFrame(out, columns=["lang", "score", "log_prob"])
 
     return scored(text)
