@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lanewise.catalog import tables as t
@@ -188,14 +189,18 @@ SELECT street_name, {rd('30 * sum(least(greatest(p, 0), 1))', 'expected_congeste
 FROM (SELECT street_name, ts, TimeLabel, p FROM
         (SELECT event_type AS street_name, date_trunc('hour', ts) AS ts, strftime(date_trunc('hour', ts), '%H:%M') AS TimeLabel,
                 avg(CAST(json_extract_string(props, '$.k') AS INTEGER) / 80e0 - 0.1e0) AS p
-         FROM events GROUP BY ALL))
+         FROM events GROUP BY ALL)
+      QUALIFY row_number() OVER (PARTITION BY street_name ORDER BY ts DESC) <= 4)
 GROUP BY street_name
 """))
 def agg_21(spark, sf):
+    """The four latest hours of every street, as many as the report is made for."""
     hours = _probabilities(spark, sf).groupBy(
         "street_name", cal.hour_floor("DateTime").alias("DateTime")
     ).agg(F.avg("p").alias("p"))
-    labelled = hours.withColumn("TimeLabel", F.date_format("DateTime", "HH:mm"))
+    latest = F.row_number().over(Window.partitionBy("street_name").orderBy(F.desc("DateTime")))
+    four = hours.withColumn("place", latest).where("place <= 4").drop("place")
+    labelled = four.withColumn("TimeLabel", F.date_format("DateTime", "HH:mm"))
     summary = reports.next_hours_summary(labelled, ["street_name"])
     return summary.withColumns({
         c: F.when(F.size(c) > 0, F.array_join(c, ",")) for c in ("avoid_slots", "good_slots")
