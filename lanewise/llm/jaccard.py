@@ -10,10 +10,16 @@ written plus pairs met, estimated on a bounded sample) and a set takes as many f
 its own size asks for; both sets of a pair take at least those that the smaller one needs. The
 order changes the work, never the result.
 
+Going round the segments in a circle, some segment even starts a run in which every prefix differs
+by less than its worth (the sum of differences less worths is negative, so start after the
+position where its running sum is largest). A key therefore carries the worth of the ``CHAIN``
+segments that it starts and a parity sketch of their elements, whose Hamming distance never
+exceeds the real difference.
+
 Equal sets collapse to one class first. Inside one key's bucket the pairs are never written out:
 the members are first compared with the bucket's smallest member only; what is left to compare is
-pairs of different components, which a parity sketch (its Hamming distance never exceeds the real
-difference) reduces block by block before any pair becomes a row. Survivors are verified exactly.
+pairs of different components, which the chains reduce block by block before any pair becomes a
+row, and sketches of the whole sets after that. Survivors are verified exactly.
 """
 
 from __future__ import annotations
@@ -29,12 +35,13 @@ from pyspark.sql import functions as F
 
 from lanewise.llm.common import mix64, word_hashes, words_of
 from lanewise.llm.components import connected_components
-from lanewise.session import stored
+from lanewise.session import discard, stored
 
 BAND_RATIO = 1.5
 SKETCH_WORDS = 8
-SHINGLES_PER_BIT = 2
 BLOCK = 512
+CHAIN = 4
+CHAIN_BITS, WORTH_BITS = 27, 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -98,7 +105,7 @@ def bands_met(size: int, rule: Rule) -> list[int]:
 
 
 def segment_keys(s, number: int, rule: Rule):
-    """Key of every segment, its length, and the deletion keys with the segment of each."""
+    """Key of every segment, its parities, and the deletion keys with the segment of each."""
     m = segments(number, rule)
     with np.errstate(over="ignore"):
         seg = (mix64(s + np.uint64(number + 1)) % np.uint64(m)).astype(np.int64)
@@ -110,7 +117,9 @@ def segment_keys(s, number: int, rule: Rule):
         salt = mix64(np.arange(m, dtype=np.uint64) + np.uint64(number << 32))
         keys = mix64(sums + salt)
         less = mix64(sums[seg] - parts + salt[seg])
-    return keys, edge[1:] - edge[:-1], less, seg
+    bits = np.int64(1) << (mix64(s[order] ^ _ODD) % np.uint64(CHAIN_BITS)).astype(np.int64)
+    run = np.append(np.int64(0), np.bitwise_xor.accumulate(bits))
+    return keys, run[edge[1:]] ^ run[edge[:-1]], less, seg
 
 
 def cheapest_steps(equal, deleted, steps: int) -> np.ndarray:
@@ -126,22 +135,35 @@ def cheapest_steps(equal, deleted, steps: int) -> np.ndarray:
     return owner[np.lexsort((np.arange(len(step)), step))[:steps]]
 
 
+def chains(parity: np.ndarray, worth: np.ndarray) -> np.ndarray:
+    """Per segment: parities of the run of segments that it starts, and the run's worth below."""
+    bits, total = np.zeros_like(parity), np.zeros(len(worth), np.int64)
+    for step in range(min(CHAIN, len(worth))):
+        bits, total = bits ^ np.roll(parity, -step), total + np.roll(worth, -step)
+    return (bits << WORTH_BITS | total).astype(np.uint32).view(np.int32)
+
+
 def bucket_keys(s, rule: Rule, orders: dict[int, np.ndarray]):
-    """All keys under which a set is filed."""
-    keys = []
+    """All keys under which a set is filed, and the chain that each key starts."""
+    keys, runs = [], []
     for number in bands_met(len(s), rule):
         m = segments(number, rule)
         steps = need(min(len(s), band_top(number)), rule)
         worth = np.bincount(orders.get(number, np.arange(m))[:steps], minlength=m)
-        whole, _, less, seg = segment_keys(s, number, rule)
+        whole, parity, less, seg = segment_keys(s, number, rule)
+        chain = chains(parity, worth)
         keys += [whole[worth > 0], less[worth[seg] > 1]]
-    return np.concatenate(keys).view(np.int64)
+        runs += [chain[worth > 0], chain[seg[worth[seg] > 1]]]
+    return np.concatenate(keys).view(np.int64), np.concatenate(runs)
 
 
-def _sketch(s) -> np.ndarray:
-    """Parities of the set's elements over a power of two of bits that follows its size."""
+def _sketch(s, rule: Rule) -> np.ndarray:
+    """Parities of the set's elements over a power of two of bits that follows its size.
+
+    Unrelated sets differ in about half of the bits, twice what a linked pair may at most.
+    """
     words = SKETCH_WORDS
-    while 64 * words * SHINGLES_PER_BIT < len(s):
+    while 64 * words < 4 * rule.most_different(len(s), len(s)):
         words *= 2
     bit = (mix64(s ^ _ODD) % np.uint64(64 * words)).astype(np.int64)
     parity = np.bincount(bit, minlength=64 * words) & 1
@@ -156,20 +178,30 @@ def _distance(a: str, b: str) -> str:
     return f"aggregate(zip_with({first}, {second}, (p, q) -> bit_count(p ^ q)), 0, (t, d) -> t + d)"
 
 
+def _chains_meet(a: str, b: str) -> Column:
+    """Whether the runs that two keys start differ by less than the smaller of their worths."""
+    least = f"least({a} & {(1 << WORTH_BITS) - 1}, {b} & {(1 << WORTH_BITS) - 1})"
+    return F.expr(f"bit_count(shiftrightunsigned({a} ^ {b}, {WORTH_BITS})) < {least}")
+
+
+def _sizes_fit(a: str, b: str, rule: Rule) -> str:
+    return f"abs(n{a} - n{b}) <= ((n{a} + n{b}) * {100 - rule.percent}) div {100 + rule.percent}"
+
+
 def _may_link(a: str, b: str, rule: Rule) -> Column:
     """Whether two sides with columns ``n`` and ``sketch`` can link; the sizes are asked first."""
     most = f"((n{a} + n{b}) * {100 - rule.percent}) div {100 + rule.percent}"
-    return F.expr(f"abs(n{a} - n{b}) <= {most} AND {_distance('s' + a, 's' + b)} <= {most}")
+    return F.expr(f"{_sizes_fit(a, b, rule)} AND {_distance('s' + a, 's' + b)} <= {most}")
 
 
 def _index(docs: DataFrame, rule: Rule, orders: dict[int, np.ndarray]) -> DataFrame:
-    """Per document: set size and 128-bit set hash; sketch and keys at the first of equal sets.
+    """Per document: set size and 128-bit set hash; sketch, keys and chains at the first of equal sets.
 
     A task files equal sets once, so copies, however many, add at most a row per key and task.
     """
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()),
-         ("sketch", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))]
+         ("sketch", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("chains", pa.list_(pa.int32()))]
     )
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,15 +214,15 @@ def _index(docs: DataFrame, rule: Rule, orders: dict[int, np.ndarray]) -> DataFr
                     h1, h2 = mix64(s).sum(dtype=np.uint64), mix64(s * _ODD + np.uint64(1)).sum(dtype=np.uint64)
                 row = (doc_id, len(s), int(h1.astype(np.int64)), int(h2.astype(np.int64)))
                 if not len(s) or doc_id is None or row[1:] in filed:
-                    rows.append((*row, None, None))
+                    rows.append((*row, None, None, None))
                     continue
                 filed.add(row[1:])
-                rows.append((*row, _sketch(s), bucket_keys(s, rule, orders)))
+                rows.append((*row, _sketch(s, rule), *bucket_keys(s, rule, orders)))
             columns = list(zip(*rows)) or [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(
-        index, "doc_id long, n long, h1 long, h2 long, sketch array<long>, keys array<long>"
+        index, "doc_id long, n long, h1 long, h2 long, sketch array<long>, keys array<long>, chains array<int>"
     )
 
 
@@ -275,27 +307,28 @@ def _across(crowded: DataFrame, nodes: DataFrame, labels: DataFrame, rule: Rule)
     """Possible pairs that share a bucket and lie in different components.
 
     Buckets are cut into blocks of about ``BLOCK`` members that meet each other once, in a join
-    whose condition holds the size and sketch tests, so pairs that fail them never become rows.
+    whose condition holds the size and chain tests, so pairs that fail them never become rows.
     """
     known = nodes.join(labels, nodes["root"] == labels["member"], "left").select(
-        "node", "root", "n", "sketch", F.coalesce("component", "root").alias("component")
+        "node", "n", F.coalesce("component", "root").alias("component")
     )
-    told = crowded.join(known.select("node", "root", "component"), "node")
+    told = crowded.join(known, "node")
     open_keys = (
         told.groupBy("key")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c"))
         .where("low < high")
         .select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     )
-    rows = told.join(open_keys, "key").join(nodes.select("node", "root", "n", "sketch"), ["node", "root"])
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("root"), F.col("blocks")).cast("int"))
-    side = lambda x: [F.col(c).alias(c[0] + x) for c in ("root", "component", "n", "sketch")]
+    rows = told.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "chain")] + [F.col("n").alias(f"n{x}")]
     left = rows.select("key", "block", F.explode(F.sequence(F.lit(0), "block")).alias("other"), *side("a"))
     right = rows.select(F.col("key").alias("k"), F.col("block").alias("o"), *side("b"))
     met = (F.col("key") == F.col("k")) & (F.col("other") == F.col("o"))
-    order = (F.col("block") != F.col("other")) | (F.col("ra") < F.col("rb"))
-    pairs = left.join(right, met & order & (F.col("ca") != F.col("cb")) & _may_link("a", "b", rule))
-    return pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+    order = (F.col("block") != F.col("other")) | (F.col("node_a") <= F.col("node_b"))
+    fits = F.expr(_sizes_fit("a", "b", rule)) & _chains_meet("chain_a", "chain_b")
+    pairs = left.join(right, met & order & (F.col("component_a") != F.col("component_b")) & fits)
+    pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    return _possible(pairs, nodes, rule)
 
 
 def similar_groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text", cost_sample: int = 4000) -> DataFrame:
@@ -318,17 +351,20 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id",
     classes = nodes.select(F.col("node").alias("h1"), "h2", "n", "root")
     members = stored(sized.select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).select("doc_id", "root"), "members")
 
-    rows = index.select(F.explode("keys").alias("key"), F.col("h1").alias("node")).repartition("key")
+    rows = index.select(F.col("h1").alias("node"), F.inline(F.arrays_zip("keys", "chains"))).toDF("node", "key", "chain")
+    rows = rows.repartition("key")
     buckets = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top")
-    crowded = stored(rows.join(buckets.select("key", "hub"), "key").select("key", "hub", "node").distinct(), "crowded")
+    crowded = stored(rows.join(buckets.select("key", "hub"), "key").select("key", "hub", "node", "chain").distinct(), "crowded")
+    sizes = stored(index.select("doc_id", "n"), "sizes")
+    discard(index)
     same_id = members.where("doc_id <> root").select(F.col("root").alias("a"), F.col("doc_id").alias("b"))
 
     hubs = crowded.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     first = stored(_verified(_possible(hubs, nodes, rule), docs, rule), "links")
     labels = connected_components(first).toDF("member", "component")
-    rest = _verified(_across(crowded.select("key", "node"), nodes, stored(labels, "labels"), rule), docs, rule)
+    rest = _verified(_across(crowded.select("key", "node", "chain"), nodes, stored(labels, "labels"), rule), docs, rule)
     found = connected_components(first.union(rest).union(same_id)).toDF("member", "component")
-    out = index.select(F.col("doc_id"), F.col("n").alias("n_shingles"))
+    out = sizes.select(F.col("doc_id"), F.col("n").alias("n_shingles"))
     return out.join(found, out["doc_id"] == found["member"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )

@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from lanewise.llm import decontaminate, jaccard, langid, line_dedup
@@ -188,3 +189,31 @@ def test_line_dedup_equals_brute_force(spark):
             if source[i]:
                 assert g["text"] == "".join(source[i][k["start"] : k["end"]] for k in g["kept"])
     assert line_dedup.drop_repeats(docs(spark, []).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("words, percent", [(5, 80), (3, 90), (2, 60)])
+def test_linked_sets_share_a_key_whose_chains_meet(words, percent):
+    rule, rng, linked = jaccard.Rule(words, percent), np.random.default_rng(percent), 0
+    low = (1 << jaccard.WORTH_BITS) - 1
+    for trial in range(600):
+        n = int(rng.integers(1, 60) if trial % 2 else rng.integers(20, 900))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        gone, new = rng.integers(0, n // 8 + 2, 2)
+        b = np.unique(np.r_[rng.permutation(a)[gone:], rng.integers(0, 2**63, new).astype(np.uint64)])
+        shared = len(np.intersect1d(a, b))
+        if not shared or 100 * shared < percent * (len(a) + len(b) - shared):
+            continue
+        linked += 1
+        orders = {}
+        for k in set(jaccard.bands_met(len(a), rule) + jaccard.bands_met(len(b), rule)):
+            m = jaccard.segments(k, rule)
+            orders[k] = jaccard.cheapest_steps(rng.random(m) * 5, rng.random(m) * 9, m)
+        filed = {}
+        for key, run in zip(*jaccard.bucket_keys(a, rule, orders)):
+            filed.setdefault(key, []).append(int(run) & 0xFFFFFFFF)
+        assert any(
+            ((run ^ int(other) & 0xFFFFFFFF) >> jaccard.WORTH_BITS).bit_count() < min(run & low, int(other) & low)
+            for key, other in zip(*jaccard.bucket_keys(b, rule, orders))
+            for run in filed.get(key, ())
+        )
+    assert linked > 100
