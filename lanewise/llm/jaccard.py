@@ -353,7 +353,9 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id",
 
     rows = index.select(F.col("h1").alias("node"), F.inline(F.arrays_zip("keys", "chains"))).toDF("node", "key", "chain")
     rows = rows.repartition("key")
-    buckets = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top")
+    # sets of one half differ by their chains; both columns also keep the exchange the join's own
+    ends = [f(c).alias(name) for c, low, high in (("node", "hub", "top"), ("chain", "least", "most")) for f, name in ((F.min, low), (F.max, high))]
+    buckets = rows.groupBy("key").agg(*ends).where("hub < top OR least < most")
     crowded = stored(rows.join(buckets.select("key", "hub"), "key").select("key", "hub", "node", "chain").distinct(), "crowded")
     sizes = stored(index.select("doc_id", "n"), "sizes")
     discard(index)
