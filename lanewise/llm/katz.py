@@ -1,13 +1,16 @@
-"""A Katz back-off bigram model: Good-Turing discounts, exactly normalised back-off weights.
+"""A Katz back-off model: Good-Turing discounts, exactly normalised back-off weights.
 
-    P(w | h) = d(c) c(h, w) / c(h)      when c(h, w) > 0, d(c) = 1 above ``K``
-             = alpha(h) P(w)            otherwise
+    P(w | h) = s(h) d(c) c(h, w) / c(h) when c(h, w) > 0, d(c) = 1 above ``K``
+             = alpha(h) P(w | h')       otherwise; h' is h without its first word
     P(w)     = d1(c) c(w) / N           when c(w) > 0
              = p0 / unseen              otherwise
 
 ``alpha(h)`` makes the probabilities after h add up to one: the mass left by the discounts over
-the unigram mass of the words not seen after h. ``unseen`` is the number of words that occur in
-the scored texts only, one at least, so the unigrams add up to one as well.
+the mass after h' of the words not seen after h. Where the discounts leave nothing, half a count is
+set aside and ``s(h)``, one elsewhere, scales the seen words down to what remains. ``unseen`` is the
+number of words that occur in the scored texts only, one at least, so the unigrams add up to one as
+well. A history never seen in training answers like h'. The first word of a text has a history of
+one word, its start; every later one has two words in a model of order 3.
 
 A row per occurrence would be several times the size of the texts, so every table here moves as
 packed arrays. A chunk is a few thousand documents with a vocabulary of its own, written once. It
@@ -208,28 +211,34 @@ def _layout(row, parts: int, start_count: int, limit: int):
     return vocab, lengths, held, counts, keys, every, h, w, place, pair_counts, part, word, order
 
 
-def _answer_pairs(group: pd.DataFrame, uni: Unigrams) -> pd.DataFrame:
-    """Counts of the asked pairs, and sums over the words seen after the histories in doubt."""
+def _answer(group: pd.DataFrame, shorter) -> pd.DataFrame:
+    """Counts of the asked n-grams, and sums over the words seen after the histories in doubt.
+
+    ``shorter`` gives the probability of each asked word after the history without its first word.
+    """
     words = [np.cumsum(unpack(x, np.uint64), dtype=np.uint64) & _LOW48 for x in group["words"]]
     cuts = np.cumsum([len(x) for x in words])[:-1]
     h = np.concatenate([np.repeat(unpack_sorted(x), unpack(n, np.uint32)) for x, n in zip(group["histories"], group["runs"])])
     keys, first, place = np.unique(mix64(h * _ODD + np.concatenate(words)), return_index=True, return_inverse=True)
     asked = np.concatenate([unpack(c, np.uint32) for c in group["counts"]])
     total = np.bincount(place, asked, len(keys)).astype(np.uint64)
-    p_word = uni(np.concatenate([unpack(c, np.uint64) for c in group["w_counts"]]))[first]
+    p_word = shorter(group)[first]
     few = np.bincount(np.minimum(total, K + 2).astype(np.int64), minlength=K + 3)
     # histories with an unseen pair here, and all that are split over partitions
     names, of = np.unique(h[first], return_inverse=True)
     doubt = np.bincount(of, total == 0, len(names)) > 0
-    often = np.concatenate([unpack(x, np.uint8) for x in group["often"]])[first]
-    doubt |= np.bincount(of, often, len(names)) > 0
+    often = np.concatenate([unpack(x, np.uint8) for x in group["often"]])
+    doubt |= np.bincount(of, often[first], len(names)) > 0
     sums = [np.bincount(of, (total == r), len(names)) for r in range(1, K + 1)]
     sums.append(np.bincount(of, np.where(total > K, total, 0), len(names)))
     sums.append(np.bincount(of, np.where(total > 0, p_word, 0.0), len(names)))
     out = pd.DataFrame({"chunk": group["chunk"], "part": group["part"], "answer": [pack(x) for x in np.split(total[place], cuts)]})
     out["few"] = [[int(x) for x in few] if k == 0 else None for k in range(len(out))]
-    # per asking chunk, the histories of its pairs that training has not seen
-    new = np.split(np.where(total[place] == 0, h, np.uint64(0)), cuts)
+    # per asking chunk, which of the counts 1..K occur here after each of its histories
+    low = sum((sums[r] > 0).astype(np.uint8) << r for r in range(K))
+    out["low"] = [pack(low[np.searchsorted(names, unpack_sorted(x))]) for x in group["histories"]]
+    # per asking chunk, the histories that are split or have a word that training has not seen
+    new = np.split(np.where((total[place] == 0) | (often > 0), h, np.uint64(0)), cuts)
     out["doubt"] = [np.unique(x[x > 0]).tobytes() for x in new]
     table = np.stack(sums)[:, doubt]
     out["names"] = [pack(names[doubt]) if k == 0 else None for k in range(len(out))]
@@ -237,6 +246,120 @@ def _answer_pairs(group: pd.DataFrame, uni: Unigrams) -> pd.DataFrame:
     return out
 
 
+def _requests(name: str, part, order, word, h, h_keys, counts, often, more) -> Iterator[pd.DataFrame]:
+    """What a chunk asks of each partition; ``more`` gives the columns for ``shorter``."""
+    cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+    for mine in np.split(order, cuts[1:]) if len(order) else ():
+        names, first, runs = np.unique(h_keys[h[mine]], return_index=True, return_counts=True)
+        row = {
+            "part": int(part[mine[0]]), "chunk": name, "words": pack(np.diff(word[mine], prepend=np.uint64(0)) & _LOW48),
+            "histories": pack_sorted(names), "runs": pack(runs.astype(np.uint32)), "counts": pack(counts[mine]),
+            "often": pack(often[h[mine]].astype(np.uint8)),
+        }
+        yield pd.DataFrame([row | more(mine, h[mine][first])])
+
+
+_ASK = "part int, chunk string, words binary, histories binary, runs binary, counts binary, often binary"
+_ANSWER = "chunk string, part int, answer binary, few array<long>, low binary, doubt binary, names binary, sums binary"
+
+
+def _collected(grams: DataFrame, d: np.ndarray, level: str) -> tuple[DataFrame, DataFrame]:
+    """Per chunk the answers of all parts, and the sums of its histories in doubt."""
+    answers = grams.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "answer", "low"))).alias(f"{level}_answers"))
+    weights = _doubts(grams).join(_backoff(grams, d), "history").groupBy("chunk")
+    weights = weights.agg(F.sort_array(F.collect_list(F.struct("history", "used", "mass"))).alias("w"))
+    # arrays of numbers: Python would make an object of each struct
+    return answers, weights.select("chunk", *[F.col(f"w.{x}").alias(f"{level}_{x}") for x in ("history", "used", "mass")])
+
+
+def _received(answers, part, order, h, h_keys) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of a chunk's n-grams, and which of the counts 1..K occur after each history."""
+    c, low, sorted_part = np.zeros(len(h), np.uint64), np.zeros(len(h_keys), np.uint8), part[order]
+    for a in answers if answers is not None else ():
+        mine = order[np.searchsorted(sorted_part, a["part"]) : np.searchsorted(sorted_part, a["part"], "right")]
+        c[mine] = unpack(a["answer"], np.uint64)
+        _, first = np.unique(h_keys[h[mine]], return_index=True)
+        low[h[mine][first]] |= unpack(a["low"], np.uint8)
+    return c, low
+
+
+class Level:
+    """Counts and probabilities of a chunk's n-grams of one length."""
+
+    def __init__(self, row, level: str, part, order, h, h_keys, h_counts, d: np.ndarray):
+        self.h, self.h_counts, self.d = h, h_counts, d
+        self.c, low = _received(getattr(row, f"{level}_answers"), part, order, h, h_keys)
+        discounted = np.uint8(sum(1 << (r - 1) for r in range(1, K + 1) if d[r] < 1))
+        self.full = ((low & discounted) == 0) & (h_counts > 0)
+        self.log_alpha = np.zeros(len(h_keys))
+        names = getattr(row, f"{level}_history")
+        if names is not None and len(names):
+            names = np.asarray(names, np.int64)
+            at = np.searchsorted(names, h_keys.view(np.int64)).clip(max=len(names) - 1)
+            told = np.flatnonzero((names[at] == h_keys.view(np.int64)) & (h_counts > 0))
+            used, mass = (np.asarray(getattr(row, f"{level}_{x}"))[at[told]] for x in ("used", "mass"))
+            count = h_counts[told].astype(float)
+            left = 1 - used / count
+            self.full[told] = left <= 1e-12
+            left = np.where(self.full[told], set_aside(count), left)
+            self.log_alpha[told] = np.log10(left / np.maximum(1 - mass, 1e-300))
+
+    def log(self, shorter: np.ndarray) -> np.ndarray:
+        """log10 of the probabilities, given those after the shorter history."""
+        seen = self.c > 0
+        out = shorter + self.log_alpha[self.h]
+        out[seen] = np.log10(seen_probability(self.c[seen], self.h_counts[self.h[seen]], self.full[self.h[seen]], self.d))
+        return out
+
+
+def set_aside(count: np.ndarray) -> np.ndarray:
+    """Mass for unseen words after a history whose discounts are all one: half a count."""
+    return 0.5 / (count + 1)
+
+
+def seen_probability(c: np.ndarray, h_count: np.ndarray, full: np.ndarray, d: np.ndarray) -> np.ndarray:
+    ratio = np.where(c > K, 1.0, d[np.minimum(c, K).astype(np.int64)])
+    count = np.maximum(h_count, 1).astype(float)
+    return ratio * c / count
+
+
+def _local_triples(lengths: np.ndarray, tokens: np.ndarray, held: np.ndarray, place: np.ndarray, size: int):
+    """Distinct (pair, word) of the tokens after a text's first, their last two words as a pair,
+    the triple of each of those tokens, and training counts."""
+    later = np.ones(len(tokens), bool)
+    later[np.cumsum(lengths) - lengths] = False
+    at = np.flatnonzero(later)
+    codes, first, triple = np.unique(place[at - 1] * (size + 1) + tokens[at], return_index=True, return_inverse=True)
+    train = np.repeat(~held, lengths)[at]
+    counts = np.bincount(triple[train], minlength=len(codes)).astype(np.uint32)
+    return codes // (size + 1), codes % (size + 1), place[at[first]], triple, at, counts
+
+
+class Chunk:
+    """A chunk with the counts of its words and, once they are answered, of its pairs."""
+
+    def __init__(self, row, parts: int, start_count: int, limit: int):
+        self.row, self.parts, self.limit = row, parts, limit
+        (self.vocab, self.lengths, self.held, self.counts, self.keys, self.every, self.h, self.w, self.place, self.pair_counts,
+         self.part, self.word, self.order) = _layout(row, parts, start_count, limit)
+
+    def pairs(self, d: np.ndarray) -> Level:
+        return Level(self.row, "pair", self.part, self.order, self.h, self.keys, self.every, d)
+
+    def triples(self, pairs: Level) -> None:
+        """Lays out the triples whose first two words are a history of training; others need no answer."""
+        tokens = self.w[self.place]
+        self.pair_keys = mix64(self.keys[self.h] * _ODD + mix64(self.keys[self.w]))
+        self.pair_keys[self.pair_keys == 0] = np.uint64(1)
+        self.h3, w, self.lower, self.triple, self.at, self.triple_counts = _local_triples(
+            self.lengths, tokens, self.held, self.place, len(self.vocab)
+        )
+        self.part3 = _pair_parts(self.pair_keys[self.h3], self.keys[w], pairs.c[self.h3], self.parts, self.limit)
+        self.word3 = mix64(self.keys[w]) & _LOW48
+        order = np.lexsort((self.word3, self.pair_keys[self.h3], self.part3))
+        self.order3 = order[pairs.c[self.h3[order]] > 0]
+
+
 def score_documents(
     docs: DataFrame,
     held: Column,
@@ -244,15 +367,19 @@ def score_documents(
     text: str = "text",
     parts: int | None = None,
     split_history: int = SPLIT_HISTORY,
+    order: int = 2,
 ) -> DataFrame:
     """Scores of all documents under a model learned from those that are not ``held``.
 
     ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (add-0.1
-    unigrams) and ``score`` (Katz bigrams), log10 of the whole text including its end. Words are
-    compared with A-Z lower-cased. Null and empty texts are the end alone; null ids and repeated
-    rows are carried through and learned from like any other; a corpus without training documents
-    scores by the new-word mass alone. Other columns are ignored, and no rows give no rows.
+    unigrams) and ``score`` (Katz n-grams of ``order`` words, 2 or 3), log10 of the whole text
+    including its end. Words are compared with A-Z lower-cased. Null and empty texts are the end
+    alone; null ids and repeated rows are carried through and learned from like any other; a corpus
+    without training documents scores by the new-word mass alone. Other columns are ignored, and no
+    rows give no rows.
     """
+    if order not in (2, 3):
+        raise ValueError(f"order {order} is not 2 or 3")
     rows = docs.withColumn("__held", held).select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col("__held").alias("held")
     )
@@ -269,64 +396,87 @@ def score_documents(
     full = stored(_with_counts(chunks, words), "counted-chunks")
     discard(chunks, words)
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ask_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                _, _, _, _, keys, every, h, w, _, pair_counts, part, word, order = _layout(row, parts, train_docs, split_history)
-                ends = np.searchsorted(part[order], np.arange(parts + 1))
-                for p in np.flatnonzero(np.diff(ends)):
-                    mine = order[ends[p] : ends[p + 1]]
-                    names, runs = np.unique(keys[h[mine]], return_counts=True)
-                    steps = np.diff(word[mine], prepend=np.uint64(0)) & _LOW48
-                    yield pd.DataFrame(
-                        [(int(p), row.chunk, pack(steps), pack_sorted(names), pack(runs.astype(np.uint32)), pack(pair_counts[mine]),
-                          pack(every[w[mine]]), pack((every[h[mine]] > split_history).astype(np.uint8)))],
-                        columns=["part", "chunk", "words", "histories", "runs", "counts", "w_counts", "often"],
-                    )
-
-    asked = full.mapInPandas(ask, "part int, chunk string, words binary, histories binary, runs binary, counts binary, w_counts binary, often binary")
-    pairs = stored(
-        asked.groupBy("part").applyInPandas(
-            lambda g: _answer_pairs(g, told.value), "chunk string, part int, answer binary, few array<long>, doubt binary, names binary, sums binary"
-        ),
-        "pair-counts",
-    )
+                x = Chunk(row, parts, train_docs, split_history)
+                more = lambda mine, _: {"w_counts": pack(x.every[x.w[mine]])}
+                yield from _requests(row.chunk, x.part, x.order, x.word, x.h, x.keys, x.pair_counts, x.every > split_history, more)
+
+    def word_probability(group: pd.DataFrame) -> np.ndarray:
+        return told.value(np.concatenate([unpack(c, np.uint64) for c in group["w_counts"]]))
+
+    asked = full.mapInPandas(ask_pairs, f"{_ASK}, w_counts binary")
+    pairs = stored(asked.groupBy("part").applyInPandas(lambda g: _answer(g, word_probability), _ANSWER), "pair-counts")
     d = discounts(_few(pairs))
-    answers = pairs.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "answer"))).alias("pair_answers"))
-    weights = _doubts(pairs).join(_backoff(pairs, d), "history").groupBy("chunk")
-    wanted = weights.agg(F.sort_array(F.collect_list(F.struct("history", "used", "mass"))).alias("weights"))
+    answers, wanted = _collected(pairs, d, "pair")
     ready = full.join(answers, "chunk").join(wanted, "chunk", "left")
+    d3 = None
+    if order == 3:
+        ready = stored(ready, "paired-chunks")
+        discard(full, pairs)
+
+        def ask_triples_of(row) -> Iterator[pd.DataFrame]:
+            x = Chunk(row, parts, train_docs, split_history)
+            two = x.pairs(d)
+            x.triples(two)
+            # c(v, w) of each triple u v w, and of each history u v the count of v
+            more = lambda mine, hist: {
+                "w_counts": pack(two.c[x.lower[mine]]), "v_counts": pack(x.every[x.w[hist]]),
+                "v_full": pack(two.full[x.w[hist]].astype(np.uint8)),
+            }
+            yield from _requests(
+                row.chunk, x.part3, x.order3, x.word3, x.h3, x.pair_keys, x.triple_counts, two.c > split_history, more
+            )
+
+        def ask_triples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for row in batch.itertuples(index=False):
+                    yield from ask_triples_of(row)  # a chunk's arrays end with it
+
+        def pair_probability(group: pd.DataFrame) -> np.ndarray:
+            runs = np.concatenate([unpack(n, np.uint32) for n in group["runs"]])
+            count = np.repeat(np.concatenate([unpack(c, np.uint64) for c in group["v_counts"]]), runs)
+            whole = np.repeat(np.concatenate([unpack(c, np.uint8) for c in group["v_full"]]), runs) > 0
+            return seen_probability(np.concatenate([unpack(c, np.uint64) for c in group["w_counts"]]), count, whole, d)
+
+        asked = ready.mapInPandas(ask_triples, f"{_ASK}, w_counts binary, v_counts binary, v_full binary")
+        triples = stored(asked.groupBy("part").applyInPandas(lambda g: _answer(g, pair_probability), _ANSWER), "triple-counts")
+        d3 = discounts(_few(triples))
+        answers, wanted = _collected(triples, d3, "triple")
+        ready = ready.join(answers, "chunk", "left").join(wanted, "chunk", "left")
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
+    def evaluate_one(row) -> pd.DataFrame:
+        x = Chunk(row, parts, train_docs, split_history)
+        two = x.pairs(d)
+        log_pair = two.log(np.log10(told.value(x.every[x.w])))
+        log_token = log_pair[x.place]
+        if d3 is not None:
+            x.triples(two)
+            three = Level(row, "triple", x.part3[x.order3], np.arange(len(x.order3)), x.h3[x.order3], x.pair_keys, two.c, d3)
+            log_triple = log_pair[x.lower]
+            log_triple[x.order3] = three.log(log_triple[x.order3])
+            log_token[x.at] = log_triple[x.triple]
+        start = np.cumsum(x.lengths) - x.lengths
+        token = x.w[x.place]
+        base = np.log10((x.counts + 0.1) / (total + 0.1 * (distinct + 1)))
+        return pd.DataFrame(
+            {
+                "doc_id": pd.array([None if pd.isna(i) else int(i) for i in row.doc_ids], "Int64"),
+                "held_out": x.held,
+                "n_tokens": x.lengths,
+                "n_known": np.add.reduceat((x.counts > 0)[token].astype(np.int64), start),
+                "train_tokens": total,
+                "base_score": np.add.reduceat(base[token], start),
+                "score": np.add.reduceat(log_token, start),
+            }
+        )
+
     def evaluate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        uni = told.value
         for batch in batches:
             for row in batch.itertuples(index=False):
-                vocab, lengths, held, counts, keys, every, h, w, place, _, part, _, order = _layout(row, parts, train_docs, split_history)
-                c = np.zeros(len(h), np.uint64)
-                for a in row.pair_answers:
-                    c[order[np.searchsorted(part[order], a["part"]) : np.searchsorted(part[order], a["part"], "right")]] = unpack(a["answer"], np.uint64)
-                log_word = np.log10(uni(every[w]))
-                log_pair = np.empty(len(h))
-                seen = c > 0
-                ratio = np.where(c > K, 1.0, d[np.minimum(c, K).astype(np.int64)])
-                log_pair[seen] = np.log10(ratio[seen] * c[seen]) - np.log10(every[h[seen]])
-                new = np.flatnonzero(~seen)
-                log_pair[new] = log_word[new] + _log_alpha(keys[h[new]], every[h[new]], row.weights, d)
-                start = np.cumsum(lengths) - lengths
-                token = w[place]
-                base = np.log10((counts + 0.1) / (total + 0.1 * (distinct + 1)))
-                yield pd.DataFrame(
-                    {
-                        "doc_id": pd.array([None if pd.isna(i) else int(i) for i in row.doc_ids], "Int64"),
-                        "held_out": held,
-                        "n_tokens": lengths,
-                        "n_known": np.add.reduceat((counts > 0)[token].astype(np.int64), start),
-                        "train_tokens": total,
-                        "base_score": np.add.reduceat(base[token], start),
-                        "score": np.add.reduceat(log_pair[place], start),
-                    }
-                )
+                yield evaluate_one(row)
 
     return ready.mapInPandas(evaluate, out)
 
@@ -364,18 +514,3 @@ def _backoff(pairs: DataFrame, d: np.ndarray) -> DataFrame:
     parts = pairs.where("names IS NOT NULL").select("names", "sums")
     parts = parts.mapInPandas(unfold, "history long, used double, mass double")
     return parts.groupBy("history").agg(F.sum("used").alias("used"), F.sum("mass").alias("mass"))
-
-
-def _log_alpha(h: np.ndarray, h_count: np.ndarray, weights, d: np.ndarray) -> np.ndarray:
-    """log10 of the back-off weights of the given histories; zero for histories never trained."""
-    if weights is None or not len(weights):
-        return np.zeros(len(h))
-    names = np.array([x["history"] for x in weights], np.int64)
-    used = np.array([x["used"] for x in weights])
-    mass = np.array([x["mass"] for x in weights])
-    at = np.searchsorted(names, h.view(np.int64)).clip(max=len(names) - 1)
-    count = np.maximum(h_count, 1).astype(float)
-    left = 1 - used[at] / count
-    # a history whose discounts are all one leaves nothing: half a count is set aside for it
-    left = np.where(left > 1e-12, left, 0.5 / (count + 1))
-    return np.where(h_count > 0, np.log10(left / np.maximum(1 - mass[at], 1e-300)), 0.0)

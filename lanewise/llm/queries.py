@@ -166,5 +166,5 @@ def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document scored by a bigram model of the documents whose id's crc32 is no multiple of 10."""
-    return katz.score_documents(table(spark, sf_dir, "documents"), crc_bucket("doc_id", 10) == 0)
+    """Every document scored by a trigram model of the documents whose id's crc32 is no multiple of 10."""
+    return katz.score_documents(table(spark, sf_dir, "documents"), crc_bucket("doc_id", 10) == 0, order=3)
