@@ -320,7 +320,7 @@ def set_aside(count: np.ndarray) -> np.ndarray:
 def seen_probability(c: np.ndarray, h_count: np.ndarray, full: np.ndarray, d: np.ndarray) -> np.ndarray:
     ratio = np.where(c > K, 1.0, d[np.minimum(c, K).astype(np.int64)])
     count = np.maximum(h_count, 1).astype(float)
-    return ratio * c / count
+    return ratio * c / count * np.where(full, 1 - set_aside(count), 1.0)
 
 
 def _local_triples(lengths: np.ndarray, tokens: np.ndarray, held: np.ndarray, place: np.ndarray, size: int):

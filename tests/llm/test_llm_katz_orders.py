@@ -1,4 +1,4 @@
-"""Katz scores of both orders against a dictionary model."""
+"""Katz scores of both orders against a dictionary model that adds up to one after every history."""
 
 import math
 import random
@@ -59,6 +59,7 @@ class Plain:
         scale = 1.0
         if left <= 1e-12:
             left = 0.5 / (total + 1)
+            scale = 1 - left
         if w in seen:
             return scale * self.kept(seen[w], n) / total
         return left / (1 - sum(self.p(h[1:], x) for x in seen)) * self.p(h[1:], w)
@@ -79,8 +80,19 @@ def is_held(i):
     return zlib.crc32(str(i).encode()) % 10 == 0
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_every_history_adds_up_to_one(order):
+    plain = Plain([(t, is_held(i)) for i, t in enumerate(corpus())], order)
+    full = 0
+    for h, seen in plain.after.items():
+        full += 1 - sum(plain.kept(c, len(h) + 1) for c in seen.values()) / sum(seen.values()) <= 1e-12
+        if len(h) < order and (full < 20 or len(h) == 1):
+            assert math.isclose(sum(plain.p(h, w) for w in plain.words), 1, rel_tol=1e-9)
+    assert full
+
+
 @pytest.mark.parametrize("order,split", [(2, 200_000), (2, 20), (3, 200_000), (3, 20)])
-def test_scores_equal_plain_model_of_order(spark, monkeypatch, order, split):
+def test_scores_equal_normalised_model(spark, monkeypatch, order, split):
     monkeypatch.setattr(katz, "CHUNK_TOKENS", 1000)
     texts = corpus()
     plain = Plain([(t, is_held(i)) for i, t in enumerate(texts)], order)
