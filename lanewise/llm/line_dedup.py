@@ -1,4 +1,4 @@
-"""Repeated lines across documents: one global group per normalised line, earliest kept."""
+"""Repeated lines and paragraphs across documents: one global group per normal form, earliest kept."""
 
 from __future__ import annotations
 
@@ -10,18 +10,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def units(text: str | None, min_words: int) -> Iterator[tuple[int, int, bytes]]:
-    """Start, end (code points, with the line break) and normal form of the long enough lines."""
-    at = 0
-    for line in text.split("\n") if text else ():
+def units(text: str | None, min_chars: int) -> Iterator[tuple[int, int, bytes]]:
+    """Start, end (code points, with the line break) and normal form of the long enough units.
+
+    A unit is a line, or a paragraph of several lines: a run of lines between blank ones.
+    """
+    at, lines, since = 0, [], 0
+    for line in [*text.split("\n"), ""] if text else ():
         end = min(at + len(line) + 1, len(text))
-        words = line.encode("utf-8", "surrogatepass").lower().split()
-        if len(words) >= min_words:
-            yield at, end, b" ".join(words)
+        normal = b" ".join(line.encode("utf-8", "surrogatepass").lower().split())
+        if normal:
+            if not lines:
+                since = at
+            lines.append(normal)
+            if _long_enough(normal, min_chars):
+                yield at, end, normal
+        else:
+            if len(lines) > 1:
+                whole = b" ".join(lines)
+                if _long_enough(whole, min_chars):
+                    yield since, min(at, len(text)), whole
+            lines = []
         at += len(line) + 1
 
 
-def _digests(docs: DataFrame, min_words: int) -> DataFrame:
+def _long_enough(normal: bytes, min_chars: int) -> bool:
+    """Whether UTF-8 text has at least that many code points, which take one to four bytes each."""
+    if len(normal) < min_chars:
+        return False
+    return len(normal) >= 4 * min_chars or len(normal.decode("utf-8", "surrogatepass")) >= min_chars
+
+
+def _digests(docs: DataFrame, min_chars: int) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -29,7 +49,7 @@ def _digests(docs: DataFrame, min_words: int) -> DataFrame:
             rows = [
                 (doc_id, start, end, xxhash.xxh3_128_digest(normal))
                 for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"])
-                for start, end, normal in units(text.as_py(), min_words)
+                for start, end, normal in units(text.as_py(), min_chars)
             ]
             columns = list(zip(*rows)) or [[]] * 4
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
@@ -41,19 +61,20 @@ def _digests(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def drop_repeats(
-    docs: DataFrame, min_words: int = 8, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, min_chars: int = 15, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """``doc_id``, ``text`` without repeats, ``removed`` and ``kept`` spans of the original text.
 
-    A unit is a line of at least ``min_words`` words, compared in lower case (A-Z) with single
-    spaces; shorter lines, which repeat by chance, are never removed. Of equal units the one with
-    the smallest (doc_id, start) stays. Spans are code points with the end exclusive and include
-    the line break, so ``text`` is the concatenation of the kept spans. Null and empty texts stay
+    A unit is a line, or a run of lines between blank ones, of at least ``min_chars`` characters,
+    compared in lower case (A-Z) with single spaces for spaces and line breaks; shorter ones, which
+    repeat by chance, are never removed by themselves. Fifteen characters is the least that eight
+    words take. Of equal units the one with the smallest (doc_id, start) stays. Spans are code points with the end exclusive and include
+    the line break, and none lies in another, so ``text`` is the concatenation of the kept spans. Null and empty texts stay
     as they are, with no kept span; rows without id are returned unchanged and do not count; rows
     that repeat an id count as one document. Other columns are ignored.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = _digests(docs.where("doc_id IS NOT NULL"), min_words)
+    found = _digests(docs.where("doc_id IS NOT NULL"), min_chars)
     first = (
         found.groupBy("digest")
         .agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("times"))
@@ -67,28 +88,31 @@ def drop_repeats(
     spans = "array<struct<start:int,end:int>>"
     joined = docs.join(per_doc, "doc_id", "left")
 
-    @F.pandas_udf(f"text string, kept {spans}")
+    @F.pandas_udf(f"text string, kept {spans}, removed {spans}")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, removed in batches:
             out = []
             for value, gone in zip(texts, removed):
                 if not value:
-                    out.append((value, []))
+                    out.append((value, [], []))
                     continue
-                kept, at = [], 0
-                for span in gone if gone is not None else ():
+                kept, cuts, at = [], [], 0
+                for span in sorted(gone, key=lambda x: (x["start"], -x["end"])) if gone is not None else ():
+                    if span["end"] <= at:  # a line of a removed paragraph
+                        continue
                     if span["start"] > at:
                         kept.append({"start": at, "end": span["start"]})
+                    cuts.append({"start": span["start"], "end": span["end"]})
                     at = span["end"]
                 if at < len(value):
                     kept.append({"start": at, "end": len(value)})
-                out.append(("".join(value[k["start"] : k["end"]] for k in kept), kept))
-            yield pd.DataFrame(out, columns=["text", "kept"])
+                out.append(("".join(value[k["start"] : k["end"]] for k in kept), kept, cuts))
+            yield pd.DataFrame(out, columns=["text", "kept", "removed"])
 
     done = joined.withColumn("cut", cut("text", "removed"))
     return done.select(
         "doc_id",
         F.col("cut.text").alias("text"),
-        F.coalesce("removed", F.expr(f"cast(array() as {spans})")).alias("removed"),
+        F.col("cut.removed").alias("removed"),
         F.col("cut.kept").alias("kept"),
     )
