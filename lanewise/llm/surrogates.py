@@ -1,6 +1,7 @@
 """Personal data replaced by keyed surrogates of the same type and format.
 
-Entities are found by patterns and reduced to a normal form (digits, or lower case), so that two
+Entities are found by patterns, and persons once named with a title also where the same text has
+their full name or surname without one. They are reduced to a normal form (digits, or lower case), so that two
 spellings of one entity get one surrogate. A surrogate is drawn from a keyed hash of kind, normal
 form and attempt, and written in the layout of the original. The distinct entities of the corpus
 are checked as a table: a surrogate that another entity has, or that is itself a real entity, is
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,12 +39,13 @@ SYLLABLES = {
 _NAME = r"[^\W\d_]+(?:[-'][^\W\d_]+)?"
 _TITLES = "|".join(sorted(map(re.escape, MALE_TITLES + FEMALE_TITLES), key=len, reverse=True))
 PATTERNS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9_.+-])[A-Za-z0-9_][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w]|\.[0-9])",
     "card": r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])",
+    "phone": r"(?<![\w+])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}"
+    r"|\+[0-9]{8,15}|(?:\+[0-9]{1,3}[ .-]?[0-9]{1,2}|[0-9]{2})(?:[ .-][0-9]{2}){4})(?![\w-])",
     "name": rf"\b(?P<title>{_TITLES})\.? (?P<names>{_NAME}(?: {_NAME})?)",
 }
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
@@ -59,28 +62,72 @@ def luhn(digits: str) -> bool:
 
 
 def _script(word: str) -> str:
-    return "cyrillic" if re.search("[Ѐ-ӿ]", word) else "latin"
+    """Script of a word's first letter outside A-Z, as Unicode names it; latin without one."""
+    for c in word:
+        if c.isalpha() and not c.isascii():
+            name = unicodedata.name(c, "LATIN").split()[0]
+            if name != "LATIN":
+                return name.lower()
+    return "latin"
+
+
+def _letters(word: str, script: str) -> list[str]:
+    """Lower-case letters, or letters without case, in the Unicode block of a word's script."""
+    at = next(ord(c) for c in word if _script(c) == script) & ~127
+    return [chr(c) for c in range(at, at + 128) if unicodedata.category(chr(c)) in ("Ll", "Lo") and _script(chr(c)) == script]
+
+
+def _capital(word: str) -> bool:
+    """Whether a word can be a name: it begins with a capital, or with a letter without case."""
+    return word[0].isupper() or unicodedata.category(word[0]) == "Lo"
 
 
 def entities(text: str | None) -> Iterator[tuple[int, int, str, str]]:
-    """Start, end, kind and normal form of the entities of a text, left to right."""
+    """Start, end, kind and normal form of the entities of a text, left to right.
+
+    Full names and surnames that follow a title are found without it as well, anywhere in the text.
+    """
+    found, names = [], {}
     for m in _FIND.finditer(text) if text else ():
-        kind, value = m.lastgroup, m[0]
+        value = m[0]
         kind = next(k for k in PATTERNS if m[k] is not None)
         if kind == "name":
             gender = "m" if m["title"] in MALE_TITLES else "f"
             words = list(re.finditer(r"[^ ]+", m["names"]))
-            words = [w for w in words if w[0][0].isupper()]
-            if len(words) == 2 and words[1].start() != words[0].end() + 1 or not m["names"][0].isupper():
+            words = [w for w in words if _capital(w[0])]
+            if len(words) == 2 and words[1].start() != words[0].end() + 1 or not _capital(m["names"]):
                 words = words[:0]
+            spans = []
             for k, w in enumerate(words):
                 part = "surname" if k == len(words) - 1 else f"given_{gender}"
                 start = m.start("names") + w.start()
-                yield start, start + len(w[0]), part, w[0].lower()
+                name = re.sub("'[sS]$", "", w[0])  # Smith's is Smith
+                spans.append((start, start + len(name), part, name.lower()))
+            found += spans
+            if spans:
+                names[text[spans[-1][0] : spans[-1][1]]] = [spans[-1][2:]]
+                names[" ".join(text[a:b] for a, b, *_ in spans)] = [x[2:] for x in spans]
         elif kind in ("card", "ssn", "phone"):
-            yield m.start(), m.end(), kind, re.sub("[^0-9]", "", value)
+            found.append((m.start(), m.end(), kind, re.sub("[^0-9]", "", value)))
         else:
-            yield m.start(), m.end(), kind, value.replace(" ", "").lower()
+            found.append((m.start(), m.end(), kind, value.replace(" ", "").lower()))
+    yield from sorted(found + list(_mentions(text, names, found))) if names else found
+
+
+def _mentions(text: str, names: dict[str, list[tuple[str, str]]], found: list) -> Iterator[tuple[int, int, str, str]]:
+    """The names, as written or in capitals, where nothing is found yet; the longest first."""
+    known = {form: parts for name, parts in names.items() for form in (name.upper(), name)}
+    forms = sorted(known, key=len, reverse=True)
+    spans, k = sorted(found), 0
+    for m in re.finditer(rf"(?<![^\W_])(?:{'|'.join(map(re.escape, forms))})(?![^\W_])", text):
+        while k < len(spans) and spans[k][1] <= m.start():
+            k += 1
+        if k < len(spans) and spans[k][0] < m.end():
+            continue
+        at = m.start()
+        for word, (kind, normal) in zip(m[0].split(" "), known[m[0]]):
+            yield at, at + len(word), kind, normal
+            at += len(word) + 1
 
 
 class _Draws:
@@ -129,6 +176,9 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int) -> str:
         number = int("".join(str(int(c, 36)) for c in body + normal[:2] + "00"))
         return f"{normal[:2]}{98 - number % 97:02d}{body}"
     script = _script(normal)
+    if script not in SYLLABLES:
+        letters = _letters(normal, script)
+        return "".join(letters[draws.below(len(letters))] for _ in range(max(4, len(normal)) + attempt // 4))
     if kind.startswith("given_") and attempt < 8:
         names = GIVEN[script, kind[-1]]
         return names[draws.below(len(names))].lower()
