@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from lanewise.llm.common import mix64, words_of
 
 MATCH, MISMATCH, GAP = 2, -1, 1
+LONG_COPY = 13  # equal words that are a copy in an item of any length: chance does not reach them
 
 
 @dataclass
@@ -163,6 +164,7 @@ def contamination(
     benchmark: DataFrame,
     n: int = 3,
     threshold: float = 0.5,
+    long_copy: int = LONG_COPY,
     block_bytes: int = 16 << 20,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -170,8 +172,9 @@ def contamination(
     """``doc_id``, ``item_id``, ``score``, ``start_word``, ``end_word``, ``item_words`` of each copy.
 
     A document holds a copy of an item (``item_id``, ``text``) when the best local alignment of
-    words around a rare shared n-gram reaches ``threshold`` of a full match: 2 for an equal word,
-    -1 for another word or a gap. Words are compared with A-Z lower-cased. One row per document
+    words around a rare shared n-gram reaches ``threshold`` of a full match, or the score of
+    ``long_copy`` equal words, which an excerpt of a long item has: 2 for an equal word, -1 for
+    another word or a gap. Words are compared with A-Z lower-cased. One row per document
     row and item, for its best copy. Null or empty texts hold nothing; items without words, text
     or id match nothing; items shorter than ``n`` words are one seed; repeated items give equal
     rows; a null document id is carried along. Benchmarks of more than ``block_bytes`` take one
@@ -215,7 +218,7 @@ def contamination(
                     for k in np.unique(item):
                         mine = item == k
                         score, start, end = best_copy(block.items[k], ids, at[mine] - block.place[hit[mine]])
-                        if score >= threshold:
+                        if score >= threshold or round(score * MATCH * len(block.items[k])) >= MATCH * long_copy:
                             rows.append((name, block.item_ids[k], score, start, end, len(block.items[k])))
                 frame = pd.DataFrame(rows, columns=[x.split()[0] for x in out.split(", ")])
                 frame["doc_id"] = frame["doc_id"].astype("Int64")
