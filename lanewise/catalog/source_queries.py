@@ -84,6 +84,28 @@ def src_04(spark, sf):
     return raw.read_interstate_hourly(spark, _interstate_csv(spark, sf, volume))
 
 
+@query("src_04_interstate_hourly_all", sql("""
+SELECT 'I-94-WB' AS RouteId, DateTime,
+       round(CASE WHEN Vehicles IS NOT NULL THEN Vehicles
+                  WHEN pos - pp <= 3 THEN pv + (nv - pv) * (pos - pp) / (np - pp) END + 1e-9, 6) AS Vehicles
+FROM (
+  SELECT DateTime, Vehicles, pos,
+    last_value(Vehicles IGNORE NULLS) OVER back AS pv,
+    last_value(CASE WHEN Vehicles IS NOT NULL THEN pos END IGNORE NULLS) OVER back AS pp,
+    first_value(Vehicles IGNORE NULLS) OVER ahead AS nv,
+    first_value(CASE WHEN Vehicles IS NOT NULL THEN pos END IGNORE NULLS) OVER ahead AS np
+  FROM (
+    WITH h AS (SELECT date_trunc('hour', DateTime) AS DateTime, avg(Vehicles) AS Vehicles FROM obs WHERE Vehicles IS NOT NULL GROUP BY 1)
+    SELECT g.DateTime, h.Vehicles, row_number() OVER (ORDER BY g.DateTime) AS pos
+    FROM (SELECT unnest(generate_series(min(DateTime), max(DateTime), INTERVAL 1 HOUR)) AS DateTime FROM h) g LEFT JOIN h USING (DateTime))
+  WINDOW back AS (ORDER BY DateTime ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         ahead AS (ORDER BY DateTime ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+""", "obs"))
+def src_04_all(spark, sf):
+    """The numbers of every event type."""
+    return raw.read_interstate_hourly(spark, _interstate_csv(spark, sf, F.col("value").cast("string")))
+
+
 @query("src_05_wide_counter_csv", sql("""
 SELECT DateTime, 'Bridge-' || RouteId AS RouteId, round(Vehicles + 1e-9, 6) AS Vehicles
 FROM hourly
