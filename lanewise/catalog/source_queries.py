@@ -38,12 +38,12 @@ def src_01(spark, sf):
 SELECT Zone, DateTime, RouteId, Vehicles FROM obs
 """, "obs"))
 def src_01_plain(spark, sf):
-    """Folders named by city and zone without keys, all zones."""
+    """Folders named by city and zone without keys, all zones; rows without zone lie in the city's."""
     root = scratch_path(spark, "plain")
     rows = t.obs(spark, sf)
-    for zone in ("Z1", "Z2", "Z3", "Z4"):
-        part = rows.where(F.col("Zone") == zone).select("DateTime", "RouteId", "Vehicles")
-        part.write.parquet(f"{root}/Metro/{zone}")
+    for zone in [r["Zone"] for r in rows.select("Zone").distinct().collect()]:
+        part = rows.where(F.col("Zone").eqNullSafe(zone)).select("DateTime", "RouteId", "Vehicles")
+        part.write.mode("append").parquet(f"{root}/Metro" + (f"/{zone}" if zone is not None else ""))
     loaded = observations.load_all(spark, root, layout="plain")
     return filters.in_city_zone(loaded, "Metro", "(All)").select(
         "Zone", "DateTime", "RouteId", "Vehicles"
