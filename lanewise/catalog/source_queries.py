@@ -55,6 +55,57 @@ def src_02(spark, sf):
     return observations.load_all(spark, _stored_obs(spark, sf))
 
 
+@query("src_01_mixed_types", sql("""
+SELECT Zone, DateTime, RouteId, CASE WHEN Zone = 'Z2' THEN trunc(Vehicles) ELSE Vehicles END AS Vehicles FROM obs
+WHERE Zone <> 'Z2' OR Vehicles IS NOT NULL
+""", "obs"))
+def src_01_mixed(spark, sf):
+    """Whole counts in one zone's files, times and counts as text in another's, doubles in the rest."""
+    root = scratch_path(spark, "mixed")
+    rows = t.obs(spark, sf)
+    clock = F.date_format("DateTime", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    stored_as = [
+        (F.col("Zone") == "Z2", F.col("DateTime"), F.col("Vehicles").cast("bigint")),
+        (F.col("Zone") == "Z3", clock, F.col("Vehicles").cast("string")),
+        (F.coalesce(~F.col("Zone").isin("Z2", "Z3"), F.lit(True)), F.col("DateTime"), F.col("Vehicles")),
+    ]
+    for chosen, time, vehicles in stored_as:
+        part = rows.where(chosen).select(time.alias("DateTime"), "RouteId", vehicles.alias("Vehicles"), "City", "Zone")
+        part.write.mode("append").partitionBy("City", "Zone").parquet(root)
+    return observations.load_all(spark, root).select("Zone", "DateTime", "RouteId", "Vehicles")
+
+
+@query("src_02_nanosecond_times", sql("""
+SELECT 'Metro' AS City, Zone, DateTime, RouteId, Vehicles FROM obs
+""", "obs"))
+def src_02_nanoseconds(spark, sf):
+    """Files as a pandas program leaves them, one a task, with times in nanoseconds."""
+    root = scratch_path(spark, "nanoseconds")
+
+    def write(batches):
+        import uuid
+
+        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        for batch in batches:
+            for zone, part in batch.groupby("Zone", dropna=False):
+                named = "__HIVE_DEFAULT_PARTITION__" if pd.isna(zone) else zone
+                frame = pa.Table.from_pandas(
+                    part[["DateTime", "RouteId", "Vehicles"]].astype({"DateTime": "datetime64[ns]"}), preserve_index=False
+                )
+                system, folder = fs.FileSystem.from_uri(f"{root if '://' in root else 'file://' + root.removeprefix('file:')}")
+                folder = f"{folder}/City=Metro/Zone={named}"
+                system.create_dir(folder)
+                pq.write_table(frame, f"{folder}/{uuid.uuid4().hex}.parquet", filesystem=system)
+            yield pd.DataFrame({"rows": [len(batch)]})
+
+    t.obs(spark, sf).select("DateTime", "RouteId", "Vehicles", "Zone").mapInPandas(write, "rows long").agg(F.sum("rows")).collect()
+    return observations.load_all(spark, root).select("City", "Zone", "DateTime", "RouteId", "Vehicles")
+
+
 def _interstate_csv(spark, sf, volume):
     path = scratch_path(spark, "interstate")
     t.load(spark, sf, "events").select(
@@ -75,16 +126,6 @@ def src_03(spark, sf):
 
 
 @query("src_04_interstate_hourly", sql("""
-SELECT 'I-94-WB' AS RouteId, DateTime, round(Vehicles + 1e-9, 6) AS Vehicles
-FROM filled3 WHERE RouteId = 'error'
-""", "filled3"))
-def src_04(spark, sf):
-    """Only one event type carries a number, which leaves hours to fill."""
-    volume = F.when(F.col("event_type") == "error", F.col("value").cast("string"))
-    return raw.read_interstate_hourly(spark, _interstate_csv(spark, sf, volume))
-
-
-@query("src_04_interstate_hourly_all", sql("""
 SELECT 'I-94-WB' AS RouteId, DateTime,
        round(CASE WHEN Vehicles IS NOT NULL THEN Vehicles
                   WHEN pos - pp <= 3 THEN pv + (nv - pv) * (pos - pp) / (np - pp) END + 1e-9, 6) AS Vehicles
@@ -101,7 +142,7 @@ FROM (
   WINDOW back AS (ORDER BY DateTime ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
          ahead AS (ORDER BY DateTime ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 """, "obs"))
-def src_04_all(spark, sf):
+def src_04(spark, sf):
     """The numbers of every event type."""
     return raw.read_interstate_hourly(spark, _interstate_csv(spark, sf, F.col("value").cast("string")))
 

@@ -4,6 +4,7 @@ import pytest
 from compare import differences, duck
 
 import __spark_entry__ as entry
+from lanewise.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.01"
 
@@ -13,10 +14,10 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, con, name):
     count, note = differences(
-        spark, con, name, entry.queries()[name], entry.oracle_sql().get(name), SF
+        spark, con, name, QUERIES[name], ORACLES.get(name), SF
     )
     assert note == ""
     assert count > 0
@@ -27,7 +28,7 @@ def test_entry_has_rows(spark):
 
 
 def test_every_inventory_row_is_registered():
-    ids = {n.rsplit("_")[0] + "_" + n.split("_")[1] for n in entry.queries()}
+    ids = {n.rsplit("_")[0] + "_" + n.split("_")[1] for n in QUERIES}
     expected = {
         f"{prefix}_{i:02d}"
         for prefix, last in (

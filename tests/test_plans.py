@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
+from lanewise.catalog import QUERIES
 from lanewise.catalog import tables as t
 from lanewise.operators import joins, windows
 from lanewise.sources import observations
@@ -24,9 +24,9 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_plan(spark, name):
-    plan = plan_of(entry.queries()[name](spark, "/root/testdata/sf0.001"))
+    plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
     if name not in USES_PYTHON:
@@ -75,7 +75,7 @@ def test_windows_are_split_by_block(spark, sf):
 
 
 def test_backtest_scans_stored_hours_only(spark):
-    plan = plan_of(entry.queries()["fc_13_backtest_top_models"](spark, "/root/testdata/sf0.001"))
+    plan = plan_of(QUERIES["fc_13_backtest_top_models"](spark, "/root/testdata/sf0.001"))
     assert "events.parquet" not in plan and "FileScan parquet" in plan
 
 

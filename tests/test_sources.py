@@ -147,3 +147,46 @@ def test_stored_table_keeps_schema_and_rows(spark):
     kept = session.stored(df, "t")
     assert kept.schema.simpleString() == df.schema.simpleString()
     assert kept.exceptAll(df).count() == 0 and kept.count() == 2
+
+
+def _write(path, **columns):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    path.parent.mkdir(parents=True, exist_ok=True)
+    pq.write_table(pa.table(columns), path)
+
+
+def test_files_of_one_root_may_differ_in_type(spark, tmp_path):
+    import pyarrow as pa
+
+    root, times = tmp_path / "ds", [dt.datetime(2024, 1, 1, h) for h in range(3)]
+    seconds = [int(t.replace(tzinfo=dt.timezone.utc).timestamp()) for t in times]
+    _write(root / "City=A" / "Zone=1" / "a.parquet", DateTime=pa.array(times, pa.timestamp("us")), RouteId=["r"] * 3, Vehicles=[1.5, None, 3.0])
+    _write(root / "City=A" / "Zone=1" / "b.parquet", DateTime=pa.array(times, pa.timestamp("ns")), RouteId=[7] * 3, Vehicles=[1, 2, 3])
+    _write(root / "City=A" / "Zone=2" / "c.parquet", DateTime=[str(t) for t in times], RouteId=["r"] * 3, Vehicles=["1", "x", "2"])
+    _write(root / "City=B" / "Zone=2" / "d.parquet", Other=[1])
+    with pytest.warns(UserWarning, match="d.parquet lacks DateTime"):
+        got = observations.read_observations(spark, str(root)).collect()
+    assert sorted((r["City"], r["Zone"], r["RouteId"], r["Vehicles"], r["DateTime"].hour) for r in got if r["Vehicles"] is not None) == [
+        ("A", "1", "7", 1.0, 0), ("A", "1", "7", 2.0, 1), ("A", "1", "7", 3.0, 2), ("A", "1", "r", 1.5, 0), ("A", "1", "r", 3.0, 2),
+        ("A", "2", "r", 1.0, 0), ("A", "2", "r", 2.0, 2),
+    ]
+    assert len(got) == 9 and {r["DateTime"].date() for r in got} == {dt.date(2024, 1, 1)}
+    kinds = {r["path"][-9:]: r["kinds"] for r in observations.describe_files(spark, str(root)).collect()}
+    assert kinds["b.parquet"] == "timestamp[ns]|int64|int64" and kinds["d.parquet"] is None
+    (root / "City=B" / "Zone=2" / "d.parquet").unlink()
+    _write(root / "City=B" / "Zone=2" / "e.parquet", DateTime=seconds, RouteId=["e"] * 3, Vehicles=[1.0] * 3)
+    with pytest.raises(ValueError, match="say time_unit"):
+        observations.read_observations(spark, str(root))
+    got = observations.load_slice(spark, str(root), "B", "2", start="2024-01-01T01:00:00", time_unit="s").collect()
+    assert sorted(r["DateTime"] for r in got) == times[1:]
+
+
+@pytest.mark.parametrize("unit, per_second", [("s", 1), ("ms", 1000), ("us", 10**6), ("ns", 10**9)])
+def test_whole_number_times_have_a_unit(spark, tmp_path, unit, per_second):
+    at = dt.datetime(2024, 3, 1, 5)
+    count = int(at.replace(tzinfo=dt.timezone.utc).timestamp()) * per_second
+    _write(tmp_path / "ds" / "A" / "f.parquet", DateTime=[count], RouteId=["r"], Vehicles=[1.0])
+    got = observations.load_all(spark, str(tmp_path / "ds"), layout="plain", time_unit=unit).collect()
+    assert [(r["DateTime"], r["City"], r["Zone"]) for r in got] == [(at, "A", None)]

@@ -20,5 +20,5 @@ def test_interstate_averages_every_event_type(spark, monkeypatch):
     rows = [(1, hour, "click", 2.0), (2, hour, "error", 4.0), (3, hour, "view", 9.0), (4, hour + dt.timedelta(hours=2), "click", 7.0)]
     table = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string, value double")
     monkeypatch.setattr(t, "load", lambda spark, sf, name: table)
-    got = sorted((r["DateTime"].hour, r["Vehicles"]) for r in source_queries.src_04_all(spark, "").collect())
+    got = sorted((r["DateTime"].hour, r["Vehicles"]) for r in source_queries.src_04(spark, "").collect())
     assert got == [(6, 5.0), (7, 6.0), (8, 7.0)]
