@@ -17,9 +17,11 @@ segments that it starts and a parity sketch of their elements, whose Hamming dis
 exceeds the real difference.
 
 Equal sets collapse to one class first. Inside one key's bucket the pairs are never written out:
-the members are first compared with the bucket's smallest member only; what is left to compare is
-pairs of different components, which the chains reduce block by block before any pair becomes a
-row, and sketches of the whole sets after that. Survivors are verified exactly.
+the members are first compared with the bucket's smallest member only. What is left to compare is
+pairs of different components; tasks test their sizes, chains and sketches on arrays, block by
+block, and write only pairs that pass. A first such round writes a spanning forest of each bucket,
+so that a group of near copies gives as many rows as it has members; a second one writes all pairs
+that are still in different components after the first one's were verified. All are verified exactly.
 """
 
 from __future__ import annotations
@@ -39,7 +41,8 @@ from lanewise.session import discard, stored
 
 BAND_RATIO = 1.5
 SKETCH_WORDS = 8
-BLOCK = 512
+BLOCK = 4096
+SHIPPED_WORDS = 32  # of a sketch, beside every key of an open bucket
 CHAIN = 4
 CHAIN_BITS, WORTH_BITS = 27, 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -178,12 +181,6 @@ def _distance(a: str, b: str) -> str:
     return f"aggregate(zip_with({first}, {second}, (p, q) -> bit_count(p ^ q)), 0, (t, d) -> t + d)"
 
 
-def _chains_meet(a: str, b: str) -> Column:
-    """Whether the runs that two keys start differ by less than the smaller of their worths."""
-    least = f"least({a} & {(1 << WORTH_BITS) - 1}, {b} & {(1 << WORTH_BITS) - 1})"
-    return F.expr(f"bit_count(shiftrightunsigned({a} ^ {b}, {WORTH_BITS})) < {least}")
-
-
 def _sizes_fit(a: str, b: str, rule: Rule) -> str:
     return f"abs(n{a} - n{b}) <= ((n{a} + n{b}) * {100 - rule.percent}) div {100 + rule.percent}"
 
@@ -303,11 +300,86 @@ def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     return both.mapInArrow(linked, "a long, b long")
 
 
-def _across(crowded: DataFrame, nodes: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows again, in tables that end where a group ends; a group has two blocks at most."""
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if rest is None else pa.concat_tables([rest, rows])
+        if not len(rows):
+            continue
+        last = np.ones(len(rows), bool)
+        for c in ("key", "x", "y"):
+            values = rows[c].to_numpy()
+            last &= values == values[-1]
+        cut = len(rows) - int(last[::-1].argmin() if not last.all() else len(rows))
+        if cut:
+            yield rows.slice(0, cut).combine_chunks()
+        rest = rows.slice(cut).combine_chunks()
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _near(rows: pa.Table, rule: Rule, forest: bool) -> np.ndarray:
+    """Pairs of nodes of different components that the tests leave, in rows sorted by group.
+
+    Rows are compared with those 1, 2, 3 ... places below them in their group, all groups at once.
+    With ``forest`` a pair that is left joins its components within the group, so that a group
+    gives fewer pairs than it has rows.
+    """
+    column = {c: rows[c].to_numpy() for c in ("key", "x", "y", "mine", "node", "component", "n")}
+    chain = rows["chain"].to_numpy().view(np.uint32)
+    lists = rows["sketch"].combine_chunks()
+    words, since = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+    length = np.diff(since)
+    new = np.ones(len(chain), bool)
+    new[1:] = (np.diff(column["key"]) != 0) | (np.diff(column["x"]) != 0) | (np.diff(column["y"]) != 0)
+    group, start = np.cumsum(new) - 1, np.append(np.flatnonzero(new), len(new))
+    label, n, node = column["component"].copy(), column["n"], column["node"]
+    inside, mine = column["x"] == column["y"], column["mine"]
+    worth, parity = (chain & np.uint32((1 << WORTH_BITS) - 1)).astype(np.int64), chain >> np.uint32(WORTH_BITS)
+
+    def alike(i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+        good = np.zeros(len(i), bool)
+        for la, lb in set(zip(length[i].tolist(), length[j].tolist())):
+            at, short = np.flatnonzero((length[i] == la) & (length[j] == lb)), min(la, lb)
+            for part in np.array_split(at, len(at) * max(la, lb) // (1 << 20) + 1):
+                sides = [
+                    np.bitwise_xor.reduce(words[since[k[part]][:, None] + np.arange(size)].reshape(-1, size // short, short), axis=1)
+                    for k, size in ((i, la), (j, lb))
+                ]
+                good[part] = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1) <= most[part]
+        return good
+
+    out, i, step = [], np.arange(len(chain)), 0
+    while len(i):
+        step += 1
+        i = i[i + step < len(chain)]
+        i = i[group[i] == group[i + step]]
+        a, b = i, i + step
+        ok = (label[a] != label[b]) & (inside[a] | (mine[a] != mine[b]))
+        a, b = a[ok], b[ok]
+        most = rule.most_different(n[a], n[b])
+        ok = (np.abs(n[a] - n[b]) <= most) & (np.bitwise_count(parity[a] ^ parity[b]) < np.minimum(worth[a], worth[b]))
+        a, b, most = a[ok], b[ok], most[ok]
+        if not len(a):
+            continue
+        ok = alike(a, b, most)
+        for p, q in zip(a[ok].tolist(), b[ok].tolist()):
+            if forest:
+                if label[p] == label[q]:
+                    continue
+                mates = label[start[group[p]] : start[group[p] + 1]]
+                mates[mates == label[q]] = label[p]
+            out.append((min(node[p], node[q]), max(node[p], node[q])))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _across(crowded: DataFrame, nodes: DataFrame, labels: DataFrame, rule: Rule, forest: bool) -> DataFrame:
     """Possible pairs that share a bucket and lie in different components.
 
-    Buckets are cut into blocks of about ``BLOCK`` members that meet each other once, in a join
-    whose condition holds the size and chain tests, so pairs that fail them never become rows.
+    Buckets are cut into blocks of about ``BLOCK`` members that meet each other once. Tasks compare
+    sizes, chains and folded sketches on arrays; only pairs that pass all three become rows.
     """
     known = nodes.join(labels, nodes["root"] == labels["member"], "left").select(
         "node", "n", F.coalesce("component", "root").alias("component")
@@ -319,16 +391,26 @@ def _across(crowded: DataFrame, nodes: DataFrame, labels: DataFrame, rule: Rule)
         .where("low < high")
         .select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     )
-    rows = told.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "chain")] + [F.col("n").alias(f"n{x}")]
-    left = rows.select("key", "block", F.explode(F.sequence(F.lit(0), "block")).alias("other"), *side("a"))
-    right = rows.select(F.col("key").alias("k"), F.col("block").alias("o"), *side("b"))
-    met = (F.col("key") == F.col("k")) & (F.col("other") == F.col("o"))
-    order = (F.col("block") != F.col("other")) | (F.col("node_a") <= F.col("node_b"))
-    fits = F.expr(_sizes_fit("a", "b", rule)) & _chains_meet("chain_a", "chain_b")
-    pairs = left.join(right, met & order & (F.col("component_a") != F.col("component_b")) & fits)
-    pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    return _possible(pairs, nodes, rule)
+    folded = F.expr(
+        f"CASE WHEN size(sketch) <= {SHIPPED_WORDS} THEN sketch ELSE transform(sequence(0, {SHIPPED_WORDS - 1}), "
+        f"i -> aggregate(sequence(i, size(sketch) - 1, {SHIPPED_WORDS}), 0L, (u, j) -> u ^ sketch[j])) END"
+    )
+    sketches = nodes.groupBy("node").agg(F.first("sketch").alias("sketch")).select("node", folded.alias("sketch"))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = (
+        told.join(open_keys, "key").join(sketches, "node").withColumn("mine", mine)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"),
+                "mine", "node", "component", "chain", "n", "sketch")
+        .repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node")
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches):
+            found = _near(rows, rule, forest)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return _possible(rows.mapInArrow(compare, "a long, b long").distinct(), nodes, rule)
 
 
 def similar_groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text", cost_sample: int = 4000) -> DataFrame:
@@ -362,10 +444,13 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id",
     same_id = members.where("doc_id <> root").select(F.col("root").alias("a"), F.col("doc_id").alias("b"))
 
     hubs = crowded.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    first = stored(_verified(_possible(hubs, nodes, rule), docs, rule), "links")
-    labels = connected_components(first).toDF("member", "component")
-    rest = _verified(_across(crowded.select("key", "node", "chain"), nodes, stored(labels, "labels"), rule), docs, rule)
-    found = connected_components(first.union(rest).union(same_id)).toDF("member", "component")
+    links = stored(_verified(_possible(hubs, nodes, rule), docs, rule), "links")
+    crowded = crowded.select("key", "node", "chain")
+    for forest in (True, False):  # a spanning forest of each bucket first, then all that is still open
+        labels = stored(connected_components(links).toDF("member", "component"), "labels")
+        more = stored(_verified(_across(crowded, nodes, labels, rule, forest), docs, rule), "links")
+        links = links.union(more)
+    found = connected_components(links.union(same_id)).toDF("member", "component")
     out = sizes.select(F.col("doc_id"), F.col("n").alias("n_shingles"))
     return out.join(found, out["doc_id"] == found["member"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")

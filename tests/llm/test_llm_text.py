@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lanewise.llm import decontaminate, jaccard, langid, line_dedup
@@ -217,3 +218,34 @@ def test_linked_sets_share_a_key_whose_chains_meet(words, percent):
             for run in filed.get(key, ())
         )
     assert linked > 100
+
+
+@pytest.mark.parametrize("copies", [200, 800])
+def test_near_misses_give_few_pairs(spark, copies):
+    """Copies of one text with two random words changed: most pairs are just below the threshold."""
+    r = random.Random(copies)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for _ in range(copies):
+        words = list(base)
+        for at in r.sample(range(120), 2):
+            words[at] = f"x{r.randrange(10**9)}"
+        texts.append(words)
+    rule = jaccard.Rule(5, 80)
+    sets = [jaccard.shingle_set(" ".join(t), 5) for t in texts]
+    rows = {c: [] for c in ("key", "x", "y", "mine", "node", "component", "n", "chain", "sketch")}
+    for k, s in enumerate(sets):
+        for c, v in (("key", 1), ("x", 0), ("y", 0), ("mine", 0), ("node", k), ("component", k), ("n", len(s)), ("chain", 31), ("sketch", jaccard._sketch(s, rule))):
+            rows[c].append(v)
+    table = pa.table({c: pa.array(v, pa.list_(pa.int64()) if c == "sketch" else pa.int32() if c == "chain" else pa.int64()) for c, v in rows.items()})
+    forest = jaccard._near(table, rule, True)
+    assert len(forest) < copies
+    most = {(a, b) for a, b in jaccard._near(table, rule, False).tolist()}
+    linked = set()
+    for a in range(copies):
+        for b in range(a + 1, copies):
+            shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if 100 * shared >= 80 * (len(sets[a]) + len(sets[b]) - shared):
+                linked.add((a, b))
+    assert linked <= most and len(most) <= 2 * len(linked) + copies
+    assert jaccard._near(table.slice(0, 0), rule, False).shape == (0, 2)
