@@ -16,12 +16,11 @@ position where its running sum is largest). A key therefore carries the worth of
 segments that it starts and a parity sketch of their elements, whose Hamming distance never
 exceeds the real difference.
 
-Equal sets collapse to one class first. Inside one key's bucket the pairs are never written out:
-the members are first compared with the bucket's smallest member only. What is left to compare is
-pairs of different components; tasks test their sizes, chains and sketches on arrays, block by
-block, and write only pairs that pass. A first such round writes a spanning forest of each bucket,
-so that a group of near copies gives as many rows as it has members; a second one writes all pairs
-that are still in different components after the first one's were verified. All are verified exactly.
+Equal sets collapse to one class first. Inside one key's bucket tasks test sizes, chains and sketches
+on arrays, block by block, and write only pairs that pass. A first round writes a spanning forest of
+each bucket, so that a group of near copies gives as many rows as it has members; a second one writes
+all pairs that are still in different components after the first one's were verified. All pairs
+that are written are verified exactly.
 """
 
 from __future__ import annotations
@@ -375,15 +374,17 @@ def _near(rows: pa.Table, rule: Rule, forest: bool) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def _across(crowded: DataFrame, nodes: DataFrame, labels: DataFrame, rule: Rule, forest: bool) -> DataFrame:
+def _across(crowded: DataFrame, nodes: DataFrame, labels: DataFrame | None, rule: Rule, forest: bool) -> DataFrame:
     """Possible pairs that share a bucket and lie in different components.
 
     Buckets are cut into blocks of about ``BLOCK`` members that meet each other once. Tasks compare
     sizes, chains and folded sketches on arrays; only pairs that pass all three become rows.
     """
-    known = nodes.join(labels, nodes["root"] == labels["member"], "left").select(
-        "node", "n", F.coalesce("component", "root").alias("component")
-    )
+    known = nodes.select("node", "n", F.col("root").alias("component"))
+    if labels is not None:
+        known = nodes.join(labels, nodes["root"] == labels["member"], "left").select(
+            "node", "n", F.coalesce("component", "root").alias("component")
+        )
     told = crowded.join(known, "node")
     open_keys = (
         told.groupBy("key")
@@ -438,18 +439,17 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id",
     # sets of one half differ by their chains; both columns also keep the exchange the join's own
     ends = [f(c).alias(name) for c, low, high in (("node", "hub", "top"), ("chain", "least", "most")) for f, name in ((F.min, low), (F.max, high))]
     buckets = rows.groupBy("key").agg(*ends).where("hub < top OR least < most")
-    crowded = stored(rows.join(buckets.select("key", "hub"), "key").select("key", "hub", "node", "chain").distinct(), "crowded")
+    crowded = stored(rows.join(buckets.select("key"), "key").select("key", "node", "chain").distinct(), "crowded")
     sizes = stored(index.select("doc_id", "n"), "sizes")
     discard(index)
     same_id = members.where("doc_id <> root").select(F.col("root").alias("a"), F.col("doc_id").alias("b"))
 
-    hubs = crowded.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(_verified(_possible(hubs, nodes, rule), docs, rule), "links")
-    crowded = crowded.select("key", "node", "chain")
+    links, labels = None, None
     for forest in (True, False):  # a spanning forest of each bucket first, then all that is still open
-        labels = stored(connected_components(links).toDF("member", "component"), "labels")
         more = stored(_verified(_across(crowded, nodes, labels, rule, forest), docs, rule), "links")
-        links = links.union(more)
+        links = more if links is None else links.union(more)
+        if forest:
+            labels = stored(connected_components(links).toDF("member", "component"), "labels")
     found = connected_components(links.union(same_id)).toDF("member", "component")
     out = sizes.select(F.col("doc_id"), F.col("n").alias("n_shingles"))
     return out.join(found, out["doc_id"] == found["member"], "left").select(

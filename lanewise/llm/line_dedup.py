@@ -1,7 +1,13 @@
-"""Repeated lines and paragraphs across documents: one global group per normal form, earliest kept."""
+"""Repeated lines and paragraphs across documents: one global group per normal form, earliest kept.
+
+Units are lines and paragraphs, or, finer, the sentences of each line. Short units repeat by chance;
+they either do not count at all (``min_chars``) or go only within a run of neighbouring repeats that
+is long enough as a whole (``min_run_chars``), which is what a copied passage leaves behind.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,27 +47,57 @@ def _long_enough(normal: bytes, min_chars: int) -> bool:
     return len(normal) >= 4 * min_chars or len(normal.decode("utf-8", "surrogatepass")) >= min_chars
 
 
-def _digests(docs: DataFrame, min_chars: int) -> DataFrame:
+SENTENCE_END = re.compile(r"(?<=[.!?])(?=[ \t])|(?<=[。！？।])")
+
+
+def sentences(text: str | None, min_chars: int) -> Iterator[tuple[int, int, bytes]]:
+    """Like ``units``, for the sentences of each line; one starts with its blanks or the line's."""
+    at = 0
+    for line in text.split("\n") if text else ():
+        parts = [p for p in SENTENCE_END.split(line) if p]
+        for k, part in enumerate(parts):
+            end = at + len(part) + (k == len(parts) - 1)
+            normal = b" ".join(part.encode("utf-8", "surrogatepass").lower().split())
+            if normal and _long_enough(normal, min_chars):
+                yield at, min(end, len(text)), normal
+            at += len(part)
+        at += 1
+
+
+def _digests(docs: DataFrame, min_chars: int, cut) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             rows = [
-                (doc_id, start, end, xxhash.xxh3_128_digest(normal))
+                (doc_id, start, end, place, xxhash.xxh3_128_digest(normal))
                 for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"])
-                for start, end, normal in units(text.as_py(), min_chars)
+                for place, (start, end, normal) in enumerate(cut(text.as_py(), min_chars))
             ]
-            columns = list(zip(*rows)) or [[]] * 4
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            columns = list(zip(*rows)) or [[]] * 5
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "start", "end", "digest"]
+                [pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "start", "end", "place", "digest"]
             )
 
-    return docs.mapInArrow(digest, "doc_id long, start int, end int, digest binary")
+    return docs.mapInArrow(digest, "doc_id long, start int, end int, place int, digest binary")
+
+
+def in_long_runs(spans: list[dict], least: int) -> list[dict]:
+    """The spans whose run of neighbouring units holds at least ``least`` characters."""
+    out, run = [], []
+    for span in [*sorted(spans, key=lambda x: x["place"]), None]:
+        if run and (span is None or span["place"] > run[-1]["place"] + 1):
+            if sum(s["end"] - s["start"] for s in run) >= least:
+                out += run
+            run = []
+        run.append(span)
+    return out
 
 
 def drop_repeats(
-    docs: DataFrame, min_chars: int = 15, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, min_chars: int = 15, doc_id: str = "doc_id", text: str = "text",
+    by_sentence: bool = False, min_run_chars: int = 0,
 ) -> DataFrame:
     """``doc_id``, ``text`` without repeats, ``removed`` and ``kept`` spans of the original text.
 
@@ -72,9 +108,15 @@ def drop_repeats(
     the line break, and none lies in another, so ``text`` is the concatenation of the kept spans. Null and empty texts stay
     as they are, with no kept span; rows without id are returned unchanged and do not count; rows
     that repeat an id count as one document. Other columns are ignored.
+
+    ``by_sentence`` takes the sentences of each line as units instead. With ``min_run_chars`` a repeat
+    goes only within a run of neighbouring repeats of so many characters; it needs ``by_sentence``,
+    whose units do not overlap.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = _digests(docs.where("doc_id IS NOT NULL"), min_chars)
+    if min_run_chars and not by_sentence:
+        raise ValueError("min_run_chars needs by_sentence")
+    found = _digests(docs.where("doc_id IS NOT NULL"), min_chars, sentences if by_sentence else units)
     first = (
         found.groupBy("digest")
         .agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("times"))
@@ -82,8 +124,8 @@ def drop_repeats(
     )
     repeats = found.join(first, "digest").where(F.struct("doc_id", "start") != F.col("first"))
     per_doc = (
-        repeats.select("doc_id", "start", "end").distinct()
-        .groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
+        repeats.select("doc_id", "start", "end", "place").distinct()
+        .groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "place"))).alias("removed"))
     )
     spans = "array<struct<start:int,end:int>>"
     joined = docs.join(per_doc, "doc_id", "left")
@@ -96,6 +138,8 @@ def drop_repeats(
                 if not value:
                     out.append((value, [], []))
                     continue
+                if gone is not None and min_run_chars:
+                    gone = in_long_runs(gone, min_run_chars)
                 kept, cuts, at = [], [], 0
                 for span in sorted(gone, key=lambda x: (x["start"], -x["end"])) if gone is not None else ():
                     if span["end"] <= at:  # a line of a removed paragraph

@@ -149,8 +149,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines that an earlier document or line has."""
-    return line_dedup.drop_repeats(table(spark, sf_dir, "documents"))
+    """Every document without the passages of 150 characters or more that an earlier text has, by sentences."""
+    return line_dedup.drop_repeats(table(spark, sf_dir, "documents"), min_chars=1, by_sentence=True, min_run_chars=150)
 
 
 @_query()
