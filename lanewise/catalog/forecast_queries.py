@@ -293,8 +293,27 @@ FROM (SELECT a.RouteId, k, h.v FROM anchors a JOIN (SELECT unnest(range(168)) AS
 """, "anchors", "hourly")
 
 
+# The fits of rollouts take the whole series, whose end lies before the first forecast day.
+table("roll_filled", """
+SELECT f.RouteId, CAST(a.anchor + 1 AS TIMESTAMP) AS origin, f.DateTime, f.Vehicles AS v
+FROM filled f JOIN anchors a USING (RouteId)
+""", "filled", "anchors")
+_fit("roll_ar1_fit", "roll_filled", 0)
+_fit("roll_sar1_fit", "roll_filled", 24)
+for _model in ("ar1", "sar1"):
+    table(f"{_model}_list", f"""
+SELECT a.RouteId, [f.phi, f.mu] AS prof FROM anchors a LEFT JOIN roll_{_model}_fit f USING (RouteId)
+""", "anchors", f"roll_{_model}_fit")
+_LAST = {
+    "ar1": "list_max([CASE WHEN vals[i] IS NOT NULL THEN i END FOR i IN range(1, 169)])",
+    "sar1": "list_max([CASE WHEN vals[i] IS NOT NULL AND vals[i - 24] IS NOT NULL THEN i END FOR i IN range(25, 169)])",
+}
+
+
 def _rollout_sql(model, n_days, min_history, name="roll"):
     answer = {
+        "ar1": "(prof[2] + pow(prof[1], 169 + h - l) * (vals[l] - prof[2]))",
+        "sar1": "(vals[144 + h + 1] + prof[2] + pow(prof[1], 169 + h - l) * (vals[l] - vals[l - 24] - prof[2]))",
         "seasonal_naive": "vals[h + 1]",
         "daily_naive": "vals[144 + h + 1]",
         "profile": "prof[((isodow(anchor) - 1 + k + 1) % 7) * 24 + h + 1]",
@@ -302,13 +321,13 @@ def _rollout_sql(model, n_days, min_history, name="roll"):
     return f"""
 {name} AS (
   SELECT w.RouteId, w.anchor, p.prof, 0 AS k, w.vals, w.raws, CAST(NULL AS DOUBLE[]) AS new, CAST(NULL AS BOOLEAN[]) AS own
-  FROM week w JOIN profile_list p USING (RouteId)
+  FROM week w JOIN {model + "_list" if model in _LAST else "profile_list"} p USING (RouteId)
   UNION ALL
   SELECT RouteId, anchor, prof, k + 1, list_concat(vals[25:168], new), list_concat(raws[25:168], [1 FOR h IN range(24)]), new, own
   FROM (SELECT RouteId, anchor, prof, k, vals, raws,
           [greatest(coalesce(CASE WHEN n >= {min_history} THEN {answer} END, mean), 0) FOR h IN range(24)] AS new,
           [n >= {min_history} AND {answer} IS NOT NULL FOR h IN range(24)] AS own
-        FROM (SELECT *, list_avg(vals) AS mean, list_count(vals) AS n FROM {name} WHERE k < {n_days}
+        FROM (SELECT *, list_avg(vals) AS mean, list_count(vals) AS n, {_LAST.get(model, "0")} AS l FROM {name} WHERE k < {n_days}
               AND list_sum(raws) >= 168))
 )"""
 
@@ -322,7 +341,7 @@ FROM {name}, (SELECT unnest(range(24)) AS h) WHERE k > 0
 
 
 def _rollout_oracle(model, n_days, min_history):
-    head = sql("", "week", "profile_list", recursive=True)
+    head = sql("", "week", f"{model}_list" if model in _LAST else "profile_list", recursive=True)
     return f"""{head},{_rollout_sql(model, n_days, min_history)}
 SELECT RouteId, anchor, DateTime, model, {rd('v', 'PredictedVehicles')}, model_used FROM ({_rollout_rows(model)})"""
 
@@ -347,6 +366,16 @@ def fc_09_profile(spark, sf):
     return fc.rollout(t.obs(spark, sf), "profile", n_days=8, min_history=100)
 
 
+@query("fc_09_rollout_ar1", _rollout_oracle("ar1", 8, 100))
+def fc_09_ar1(spark, sf):
+    return fc.rollout(t.obs(spark, sf), "ar1", n_days=8, min_history=100)
+
+
+@query("fc_09_rollout_sar1", _rollout_oracle("sar1", 8, 100))
+def fc_09_sar1(spark, sf):
+    return fc.rollout(t.obs(spark, sf), "sar1", n_days=8, min_history=100)
+
+
 _E = ["seasonal_naive", "daily_naive", "profile"]
 
 

@@ -30,6 +30,7 @@ from lanewise.session import stored
 
 KEYS = ("RouteId",)
 LAGS = {"seasonal_naive": 168, "daily_naive": 24}
+ROLLOUT_SEASONS = {"ar1": 0, "sar1": 24}
 MODELS = ("seasonal_naive", "daily_naive", "profile", "ar1", "sar1")
 FITTED = ("ar1", "sar1")
 BASELINE = "baseline"
@@ -416,13 +417,17 @@ def rollout(
     A day is skipped, and the rollout stops, when fewer than ``lookback`` raw rows lie in its
     look-back window; with enough rows but fewer than ``min_history`` non-empty hours the mean
     answers. The feedback is a fold over one array of ``lookback`` hours per route.
+
+    ``ar1`` and ``sar1`` are fitted once, on all history up to the last data day, and go on from the
+    array's last value (for ``sar1``: its last difference to the day before), which after the first
+    day is a forecast. A route without a stationary fit is answered by the mean.
     """
     keys = list(keys)
     if lookback % 24:
         raise ValueError("rollout needs a look-back of whole days")
     needed = lookback if min_history is None else min_history
     hourly = hourly_totals(obs, keys)
-    if model == "profile":
+    if model == "profile" or model in ROLLOUT_SEASONS:
         hourly = stored(hourly, "hourly")
     last_day = F.to_date(F.max("DateTime").over(Window.partitionBy(*keys)))
     start = cal.plus_hours(F.date_add("anchor", 1).cast("timestamp_ntz"), -lookback)
@@ -449,10 +454,30 @@ def rollout(
             F.map_from_entries(F.collect_list(F.struct("_i", "_m"))).alias("_profile")
         )
         history = history.join(table, keys)
+    elif model in ROLLOUT_SEASONS:
+        known = hourly.where("Vehicles IS NOT NULL").select(*keys, "DateTime", "Vehicles")
+        after = F.date_add(F.to_date(F.max("DateTime")), 1).cast("timestamp_ntz")
+        ends = hourly.groupBy(*keys).agg(after.alias("origin"))
+        fits = fit_ar(known, ends, {model: ROLLOUT_SEASONS[model]}, keys=keys)
+        history = history.join(fits.select(*keys, F.col(model).alias("_fit")), keys, "left")
     elif model not in LAGS:
         raise ValueError(f"no rollout for {model!r}")
 
+    def recurrence(values: Column, h: Column) -> Column:
+        """The fitted recurrence from the last complete level of the array to hour ``h`` after it."""
+        season = ROLLOUT_SEASONS[model]
+
+        def level(i: Column) -> Column:
+            return F.get(values, i) - F.get(values, i - season) if season else F.get(values, i)
+
+        places = F.sequence(F.lit(season), F.lit(lookback - 1))
+        last = F.array_max(F.transform(places, lambda i: F.when(level(i).isNotNull(), i)))
+        step = ar_step(F.col("_fit.phi"), F.col("_fit.mu"), level(last), F.lit(lookback) + h - last)
+        return F.get(values, F.lit(lookback - season) + h) + step if season else step
+
     def answer(values: Column, h: Column, k: Column) -> Column:
+        if model in ROLLOUT_SEASONS:
+            return recurrence(values, h)
         if model == "profile":
             weekday = F.pmod(F.weekday("anchor") + k, F.lit(7))
             return F.try_element_at(F.col("_profile"), weekday * 24 + h)
