@@ -161,7 +161,8 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int) -> str:
         labels = domain.split(".")
         named = _Draws(key, "domain", domain)
         labels[:-1] = ["".join(_like(c, named) for c in label) for label in labels[:-1]]
-        return "".join(_like(c, draws) for c in local) + "@" + ".".join(labels)
+        more = "".join(_like("a", draws) for _ in range(attempt // 4))  # a short part may have no free form
+        return "".join(_like(c, draws) for c in local) + more + "@" + ".".join(labels)
     if kind == "ip":
         return ".".join(str(1 + draws.below(254)) for _ in range(4))
     if kind == "card":

@@ -22,6 +22,7 @@ from lanewise.session import scratch_path, stored
 
 CHUNK = 1 << 20
 BATCH_BYTES = 8 << 20
+READ_TASKS = 20_000  # at most; below that a task reads one archive
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -252,7 +253,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                         rows, held = [], 0
                 yield _frame(rows, names)
 
-    files = manifest.select("path").repartition("path")
+    files = manifest.select("path").repartition(max(1, min(manifest.count(), READ_TASKS)))
     return files.mapInPandas(read, RECORDS)
 
 
