@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lanewise.llm import decontaminate, jaccard, langid, mixing, secret_scan
 from lanewise.llm.common import table
 from lanewise.llm.queries import PIECES
-from lanewise.session import stored
+from lanewise.session import discard, stored
 
 MIN_SCORE = 0.5
 NEAR = jaccard.Rule(words=5, percent=80)
@@ -75,5 +75,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each stored before the next one reads it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        kept = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
