@@ -13,8 +13,11 @@ from lanewise.catalog.registry import query, rd, sql, table
 from lanewise.operators import resample, windows
 from lanewise.plans import backtest
 from lanewise.plans import forecast as fc
+from lanewise.plans import pooled
 
 RELAXED = 120
+# The models that the jobs below compare; the regression has queries of its own.
+COMPARED = tuple(m for m in fc.MODELS if m != "linear")
 
 table("days_all", """
 SELECT RouteId, unnest(generate_series(CAST(first AS TIMESTAMP), CAST(last AS TIMESTAMP), INTERVAL 1 DAY)) AS origin,
@@ -275,6 +278,120 @@ def fc_07(spark, sf):
     return backtest.linear_direct(t.obs(spark, sf), min_history=RELAXED)
 
 
+def _scores_sql(models, min_history):
+    body, needs = _forecast_sql(models, min_history)
+    return f"""
+SELECT RouteId, CAST(origin AS DATE) AS date, model, count(*) AS n, avg((a - p) ** 2) AS mse, sqrt(avg((a - p) ** 2)) AS rmse,
+       avg(abs(a - p)) AS mae, avg(CASE WHEN a <> 0 THEN abs((a - p) / a) END) * 100 AS mape,
+       avg(2 * abs(p - a) / CASE WHEN abs(a) + abs(p) = 0 THEN 1 ELSE abs(a) + abs(p) END) * 100 AS smape,
+       CASE WHEN var_pop(a) <> 0 THEN 1 - sum((a - p) ** 2) / (count(*) * var_pop(a)) END AS r2,
+       count(*) FILTER (model_used = model) AS n_model
+FROM (SELECT f.*, f.PredictedVehicles AS p, h.Vehicles AS a FROM ({body}) f JOIN hourly h ON h.RouteId = f.RouteId AND h.DateTime = f.DateTime)
+GROUP BY 1, 2, 3
+""", [*needs, "hourly"]
+
+
+# The pooled regression: every origin's rows, centred by route, their correlations, and the
+# elimination of one regressor after the other as a recursion over the cells of the matrix.
+
+_X = ", ".join(f"x.{n}" for n in fc.REGRESSORS)
+_SIZE = len(fc.REGRESSORS) + 1
+
+table("regressors", """
+SELECT t.RouteId, t.origin, t.DateTime, w.Vehicles AS seasonal_naive, d.Vehicles AS daily_naive, s.m AS history_mean,
+       l.Vehicles AS last_value, s.n_history,
+       sin(2 * pi() * hour(t.DateTime) / 24) AS hour_sin, cos(2 * pi() * hour(t.DateTime) / 24) AS hour_cos,
+       sin(2 * pi() * (isodow(t.DateTime) - 1) / 7) AS dow_sin, cos(2 * pi() * (isodow(t.DateTime) - 1) / 7) AS dow_cos
+FROM targets t JOIN stats s USING (RouteId, origin)
+JOIN hourly w ON w.RouteId = t.RouteId AND w.DateTime = t.DateTime - INTERVAL 168 HOUR
+JOIN hourly d ON d.RouteId = t.RouteId AND d.DateTime = t.DateTime - INTERVAL 24 HOUR
+JOIN hourly l ON l.RouteId = t.RouteId AND l.DateTime = t.origin - INTERVAL 1 HOUR
+""", "targets", "stats", "hourly")
+table("train_cells", f"""
+SELECT o.origin, x.RouteId, x.DateTime, unnest(range({_SIZE})) AS i, unnest([{_X}, a.Vehicles]) AS v
+FROM (SELECT DISTINCT origin FROM origins) o JOIN regressors x ON x.origin < o.origin
+JOIN hourly a ON a.RouteId = x.RouteId AND a.DateTime = x.DateTime
+WHERE x.n_history >= {RELAXED}
+""", "origins", "regressors", "hourly")
+table("train_centred", """
+SELECT *, CASE WHEN max(v) OVER g = min(v) OVER g THEN 0 ELSE v - avg(v) OVER g END AS c, avg(v) OVER g AS mean
+FROM train_cells WINDOW g AS (PARTITION BY origin, RouteId, i)
+""", "train_cells")
+table("train_spread", """
+SELECT origin, i, sqrt(sum(c * c)) AS spread, count(*) AS n_rows, count(DISTINCT RouteId) AS n_routes
+FROM train_centred GROUP BY 1, 2
+""", "train_centred")
+table("train_means", "SELECT DISTINCT origin, RouteId, i, mean FROM train_centred", "train_centred")
+table("correlations", """
+SELECT a.origin, a.i, b.i AS j, coalesce(sum(a.c * b.c) / nullif(any_value(p.spread) * any_value(q.spread), 0), 0) AS v
+FROM train_centred a JOIN train_centred b USING (origin, RouteId, DateTime)
+JOIN train_spread p ON p.origin = a.origin AND p.i = a.i JOIN train_spread q ON q.origin = b.origin AND q.i = b.i
+GROUP BY 1, 2, 3
+""", "train_centred", "train_spread")
+table("eliminated", f"""
+SELECT origin, i, j, v, 0 AS p FROM correlations
+UNION ALL
+SELECT origin, i, j, CASE WHEN i = p THEN CASE WHEN head > 1e-10 THEN v / head ELSE 0 END
+                          WHEN head > 1e-10 THEN v - of_column * of_row / head ELSE v END, p + 1
+FROM (SELECT *, max(CASE WHEN i = p AND j = p THEN v END) OVER (PARTITION BY origin) AS head,
+             max(CASE WHEN j = p THEN v END) OVER (PARTITION BY origin, i) AS of_column,
+             max(CASE WHEN i = p THEN v END) OVER (PARTITION BY origin, j) AS of_row
+      FROM eliminated WHERE p < {_SIZE - 1})
+""", "correlations")
+table("slopes", f"""
+SELECT e.origin, e.i, coalesce(e.v * y.spread / nullif(x.spread, 0), 0) AS slope
+FROM eliminated e JOIN train_spread x ON x.origin = e.origin AND x.i = e.i
+JOIN train_spread y ON y.origin = e.origin AND y.i = {_SIZE - 1}
+WHERE e.p = {_SIZE - 1} AND e.j = {_SIZE - 1} AND e.i < {_SIZE - 1} AND x.n_rows > x.n_routes + {_SIZE - 1}
+""", "eliminated", "train_spread")
+table("p_linear", f"""
+SELECT x.RouteId, x.origin, x.DateTime, any_value(y.mean) + sum(s.slope * (x.v - m.mean)) AS v
+FROM (SELECT RouteId, origin, DateTime, unnest(range({_SIZE - 1})) AS i, unnest([{_X}]) AS v FROM regressors x) x
+JOIN slopes s ON s.origin = x.origin AND s.i = x.i
+JOIN train_means m ON m.origin = x.origin AND m.RouteId = x.RouteId AND m.i = x.i
+JOIN train_means y ON y.origin = x.origin AND y.RouteId = x.RouteId AND y.i = {_SIZE - 1}
+GROUP BY 1, 2, 3
+""", "regressors", "slopes", "train_means")
+
+
+def _linear_oracle(select, *needs):
+    return sql(select, *needs, recursive=True)
+
+
+_LINEAR, _LINEAR_NEEDS = _forecast_sql(["linear"], RELAXED)
+
+
+@query("fc_07_linear", _linear_oracle(f"""
+SELECT RouteId, origin, DateTime, step, model, {rd('PredictedVehicles', 'PredictedVehicles', 3)}, model_used, n_history
+FROM ({_LINEAR})
+""", *_LINEAR_NEEDS), places=3)
+def fc_07_origins(spark, sf):
+    """One regression per origin over all routes, from sums by day; no iteration."""
+    return _run(spark, sf, ["linear"], min_history=RELAXED)
+
+
+@query("fc_07_linear_certificate", sql("""
+SELECT o.origin, coalesce(s.n_rows, 0) AS n_rows, coalesce(s.n_routes, 0) AS n_routes,
+       CASE WHEN s.n_rows > s.n_routes + 8 THEN true END AS optimal
+FROM (SELECT DISTINCT origin FROM origins) o LEFT JOIN train_spread s ON s.origin = o.origin AND s.i = 8
+""", "origins", "train_spread"))
+def fc_07_certificate(spark, sf):
+    """What each fit saw, and whether no regressor is correlated with its residual."""
+    hourly = t.hourly(spark, sf)
+    fits, _ = fc.fit_linear(hourly, _origins(hourly), min_history=RELAXED)
+    optimal = F.when(F.col("slopes").isNotNull(), pooled.gradient(len(fc.REGRESSORS) + 1) < 1e-4)
+    return fits.select("origin", "n_rows", "n_routes", optimal.alias("optimal"))
+
+
+@query("fc_07_linear_backtest", _linear_oracle(f"""
+SELECT RouteId, date, model, n, {rd('mse', 'mse', 3)}, {rd('rmse', 'rmse', 3)}, {rd('mae', 'mae', 3)},
+       {rd('smape', 'smape', 3)}, n_model FROM ({_scores_sql(["linear"], RELAXED)[0]})
+""", *_scores_sql(["linear"], RELAXED)[1]), places=3)
+def fc_07_backtest(spark, sf):
+    rows = backtest.daily_metrics(t.obs(spark, sf), models=["linear"], min_history=RELAXED)
+    return rows.select("RouteId", "date", "model", "n", "mse", "rmse", "mae", "smape", "n_model")
+
+
 # Rollouts: SQL carries the week of hours from day to day as a list.
 
 table("anchors", "SELECT RouteId, CAST(max(DateTime) AS DATE) AS anchor FROM obs GROUP BY 1", "obs")
@@ -424,11 +541,11 @@ def fc_11_week(spark, sf):
 
 
 def _daily_oracle(min_history):
-    body, needs = _forecast_sql(fc.MODELS, min_history, "days_all")
+    body, needs = _forecast_sql(COMPARED, min_history, "days_all")
     picks = ", ".join(
-        f"sum(PredictedVehicles) FILTER (model = '{m}') AS {m}_v" for m in fc.MODELS
+        f"sum(PredictedVehicles) FILTER (model = '{m}') AS {m}_v" for m in COMPARED
     )
-    cols = ", ".join(rd(f"{m}_v", f"Daily_{m}") for m in fc.MODELS)
+    cols = ", ".join(rd(f"{m}_v", f"Daily_{m}") for m in COMPARED)
     return sql(f"""
 SELECT d.RouteId, d.Date, {rd('d.DailyActual', 'DailyActual')}, {cols}
 FROM daily d JOIN (SELECT RouteId, max(Date) - 30 AS start FROM daily GROUP BY 1) m ON m.RouteId = d.RouteId AND d.Date >= m.start
@@ -439,47 +556,34 @@ LEFT JOIN (SELECT RouteId, CAST(origin AS DATE) AS Date, {picks} FROM ({body}) W
 
 @query("fc_12_daily_actual_vs_models", _daily_oracle(RELAXED))
 def fc_12(spark, sf):
-    return fc.daily_actual_vs_models(t.obs(spark, sf), min_history=RELAXED)
+    return fc.daily_actual_vs_models(t.obs(spark, sf), COMPARED, min_history=RELAXED)
 
 
 @query("fc_12_daily_actual_vs_models_strict", _daily_oracle(168))
 def fc_12_strict(spark, sf):
-    return fc.daily_actual_vs_models(t.obs(spark, sf))
-
-
-def _scores_sql(models, min_history):
-    body, needs = _forecast_sql(models, min_history)
-    return f"""
-SELECT RouteId, CAST(origin AS DATE) AS date, model, count(*) AS n, avg((a - p) ** 2) AS mse, sqrt(avg((a - p) ** 2)) AS rmse,
-       avg(abs(a - p)) AS mae, avg(CASE WHEN a <> 0 THEN abs((a - p) / a) END) * 100 AS mape,
-       avg(2 * abs(p - a) / CASE WHEN abs(a) + abs(p) = 0 THEN 1 ELSE abs(a) + abs(p) END) * 100 AS smape,
-       CASE WHEN var_pop(a) <> 0 THEN 1 - sum((a - p) ** 2) / (count(*) * var_pop(a)) END AS r2,
-       count(*) FILTER (model_used = model) AS n_model
-FROM (SELECT f.*, f.PredictedVehicles AS p, h.Vehicles AS a FROM ({body}) f JOIN hourly h ON h.RouteId = f.RouteId AND h.DateTime = f.DateTime)
-GROUP BY 1, 2, 3
-""", [*needs, "hourly"]
+    return fc.daily_actual_vs_models(t.obs(spark, sf), COMPARED)
 
 
 _SIX_COLUMNS = ", ".join(rd(m, m) for m in ("mse", "rmse", "mae", "mape", "smape", "r2"))
 
 
 def _daily_scores_oracle(min_history):
-    body, needs = _scores_sql(fc.MODELS, min_history)
+    body, needs = _scores_sql(COMPARED, min_history)
     return sql(f"SELECT RouteId, date, model, n, {_SIX_COLUMNS}, n_model FROM ({body})", *needs)
 
 
 @query("fc_13_backtest_daily_metrics", _daily_scores_oracle(RELAXED))
 def fc_13(spark, sf):
-    return backtest.daily_metrics(t.obs(spark, sf), min_history=RELAXED)
+    return backtest.daily_metrics(t.obs(spark, sf), models=COMPARED, min_history=RELAXED)
 
 
 @query("fc_13_backtest_daily_metrics_strict", _daily_scores_oracle(168))
 def fc_13_strict(spark, sf):
-    return backtest.daily_metrics(t.obs(spark, sf))
+    return backtest.daily_metrics(t.obs(spark, sf), models=COMPARED)
 
 
 def _averages_sql(min_history):
-    body, needs = _scores_sql(fc.MODELS, min_history)
+    body, needs = _scores_sql(COMPARED, min_history)
     return f"""
 SELECT RouteId, model, avg(mse) AS mse, avg(rmse) AS rmse, avg(mae) AS mae, avg(mape) AS mape,
        avg(smape) AS smape, avg(r2) AS r2, count(*) AS n_days FROM ({body}) GROUP BY 1, 2""", needs
@@ -496,7 +600,7 @@ WHERE rank <= 2
 
 @query("fc_13_backtest_top_models", _top_oracle(RELAXED))
 def fc_13_top(spark, sf):
-    return backtest.run(t.obs(spark, sf), min_history=RELAXED)[2]
+    return backtest.run(t.obs(spark, sf), models=COMPARED, min_history=RELAXED)[2]
 
 
 table("last_rows", """
@@ -519,7 +623,7 @@ FROM ({body}) a JOIN spans s ON s.RouteId = a.RouteId GROUP BY a.RouteId
 @query("fc_13_backtest_summary", _summary_oracle())
 def fc_13_summary(spark, sf):
     obs = t.obs(spark, sf)
-    daily = backtest.daily_metrics(obs, min_history=RELAXED)
+    daily = backtest.daily_metrics(obs, models=COMPARED, min_history=RELAXED)
     rows = backtest.summary(obs, daily, "Metro", "(All)", "Metro")
     return rows.withColumns({
         "top_models": F.array_join("top_models", ","),

@@ -7,6 +7,7 @@ estimators are exchangeable:
 * ``profile``: the mean of earlier hours with the same weekday and hour.
 * ``ar1``: AR(1) fitted to all history before the origin.
 * ``sar1``: the same on daily differences, added back to the last day.
+* ``linear``: least squares pooled over the routes of a city, on lags, history and the calendar.
 
 Where an estimator cannot answer, the mean of the history does, and ``model_used`` says so.
 
@@ -26,14 +27,19 @@ from lanewise.functions import calendar as cal
 from lanewise.operators import joins, resample, rollups, windows
 from lanewise.operators.filters import drop_past
 from lanewise.operators.shape import union_all
+from lanewise.plans import pooled
 from lanewise.session import stored
 
 KEYS = ("RouteId",)
 LAGS = {"seasonal_naive": 168, "daily_naive": 24}
 ROLLOUT_SEASONS = {"ar1": 0, "sar1": 24}
-MODELS = ("seasonal_naive", "daily_naive", "profile", "ar1", "sar1")
+MODELS = ("seasonal_naive", "daily_naive", "profile", "ar1", "sar1", "linear")
 FITTED = ("ar1", "sar1")
 BASELINE = "baseline"
+REGRESSORS = (
+    "seasonal_naive", "daily_naive", "history_mean", "last_value",
+    "hour_sin", "hour_cos", "dow_sin", "dow_cos",
+)
 
 
 def hourly_totals(obs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -255,6 +261,72 @@ def _with_seasonal_ar(
     )
 
 
+def regressors(rows: DataFrame, hourly: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add struct ``_x`` with the regressors to forecast hours that have ``history_mean``.
+
+    All are known at the origin: the values a week and a day before the hour, the history's mean,
+    the last hour before the origin, and the calendar.
+    """
+    last_hour = hourly.select(
+        *keys, cal.plus_hours("DateTime", 1).alias("origin"), F.col("Vehicles").alias("_last_value")
+    )
+    rows = rows.join(last_hour, [*keys, "origin"], "left")
+    for name, lag in LAGS.items():
+        rows = rows.join(lagged(hourly, lag, f"_{name}", keys), [*keys, "DateTime"], "left")
+    known = [F.col(f"_{n}").alias(n) for n in LAGS]
+    known += [F.col("history_mean"), F.col("_last_value").alias("last_value")]
+    cells = F.struct(*known, *cal.hour_week_features("DateTime"))
+    return rows.withColumn("_x", cells).drop("_last_value", *[f"_{n}" for n in LAGS])
+
+
+def regression_rows(
+    hourly: DataFrame, lookback: int = 168, min_history: int | None = None, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """Training rows of ``linear``: every observed hour as seen from the midnight before it.
+
+    Days with fewer than ``min_history`` non-empty hours of look-back have none.
+    """
+    keys = list(keys)
+    days = hourly.select(*keys, cal.day_floor("DateTime").alias("origin")).distinct()
+    stats = history_stats(hourly, days, lookback, keys).where(
+        F.col("n_history") >= (lookback if min_history is None else min_history)
+    )
+    actual = hourly.withColumnRenamed("Vehicles", "Actual")
+    rows = forecast_hours(stats).join(actual, [*keys, "DateTime"])
+    return regressors(rows, hourly, keys).select(
+        *keys, "origin", "DateTime", "Actual", *[F.col(f"_x.{n}").alias(n) for n in REGRESSORS]
+    )
+
+
+def fit_linear(
+    hourly: DataFrame, origins: DataFrame, lookback: int = 168, min_history: int | None = None,
+    keys: Sequence[str] = KEYS,
+) -> tuple[DataFrame, DataFrame]:
+    """Fits of ``linear`` for every origin, and each route's own means, by ``pooled.fit``.
+
+    Routes of a city share a fit where City is among the keys; otherwise all routes do.
+    """
+    rows = regression_rows(hourly, lookback, min_history, keys)
+    return pooled.fit(rows, origins, REGRESSORS, "Actual", keys, _family(keys))
+
+
+def _family(keys: Sequence[str]) -> list[str]:
+    return [k for k in keys if k == "City"]
+
+
+def _with_linear(rows: DataFrame, hourly: DataFrame, fitted, keys: Sequence[str]) -> DataFrame:
+    fits, centres = fitted
+    fits = fits.select(*_family(keys), "origin", "slopes")
+    found = (
+        regressors(rows, hourly, keys)
+        .join(centres, [*keys, "origin"], "left")
+        .join(fits, [*_family(keys), "origin"], "left")
+    )
+    x = [F.col(f"_x.{n}") for n in REGRESSORS]
+    value = pooled.predicted(x, F.col("slopes"), F.col("means"))
+    return found.withColumn("linear", value).drop("_x", "slopes", "means")
+
+
 def forecast(
     hourly: DataFrame,
     origins: DataFrame,
@@ -305,6 +377,11 @@ def forecast(
             rows = _with_ar(rows, name)
         elif name == "sar1":
             rows = _with_seasonal_ar(rows, hourly, name, season, keys)
+        elif name == "linear":
+            if horizon > LAGS["daily_naive"]:
+                raise ValueError(f"linear cannot see {horizon} hours ahead")
+            fitted = fit_linear(hourly, asked, lookback, min_history, keys)
+            rows = _with_linear(rows, hourly, fitted, keys)
     enough = F.coalesce(F.col("n_history"), F.lit(0)) >= (
         lookback if min_history is None else min_history
     )

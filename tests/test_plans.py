@@ -16,8 +16,11 @@ USES_PYTHON = {
     "fc_14_evaluation_detail", "fc_17_next_two_hours", "fc_17_two_hour_summary", "fc_18_model_registry",
 }
 
-# A window over the hours of the feed's one route, and over the distinct routes of one city.
-ONE_SMALL_GROUP = {"src_04_interstate_hourly", "fc_07_linear_samples"}
+# A window over the hours of the feed's one route, over the distinct routes of one city, and over the
+# days of one family.
+ONE_SMALL_GROUP = {
+    "src_04_interstate_hourly", "fc_07_linear_samples", "fc_07_linear", "fc_07_linear_certificate", "fc_07_linear_backtest",
+}
 
 
 def plan_of(df):
