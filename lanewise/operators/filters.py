@@ -118,9 +118,15 @@ def training_status(
 def _from_start(
     df: DataFrame, start: Column, keys: Sequence[str], ts: str
 ) -> DataFrame:
-    """Rows from a start computed per series. The starts are one row per series."""
+    """Rows from a start computed per series. The starts are one row per series.
+
+    The least of them is a scalar subquery, which the scan receives as a value, so the second
+    reading skips what lies before every series' start. No series has rows if none has a start.
+    """
     starts = stored(df.groupBy(*keys).agg(start.alias("_start")), "starts")
-    return df.join(starts, list(keys)).where(F.col(ts) >= F.col("_start")).drop("_start")
+    least = starts.agg(F.min("_start")).scalar()
+    late = df.where(F.col(ts) >= least)
+    return late.join(starts, list(keys)).where(F.col(ts) >= F.col("_start")).drop("_start")
 
 
 def last_days(

@@ -53,6 +53,45 @@ def with_position(
     )
 
 
+def with_ranged_position(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str]
+) -> DataFrame:
+    """``pos`` and ``n`` as ``with_position`` gives them, for series that no task could hold.
+
+    One sort by ranges of (keys, order) spreads all rows evenly, a hot series over many tasks. A
+    row's number within its task is shifted by the series' rows in the tasks before, a table of
+    one row per series and task. Rows equal in keys and order stay in one task, so ``order``
+    should end in an id. The numbered rows are stored once, because ranges come from a sample.
+    Null keys form a series; null times come first.
+    """
+    keys = list(keys)
+    task, row = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    sorted_rows = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    numbered = stored(
+        sorted_rows.withColumn("_id", F.monotonically_increasing_id())
+        .withColumns({"_task": task, "_row": row})
+        .drop("_id"),
+        "numbered",
+    )
+    series = Window.partitionBy(*keys)
+    before = series.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        numbered.groupBy(*keys, "_task")
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min("_row").alias("_start"))
+        .withColumn("_shift", F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_start"))
+        .withColumn("n", F.sum("_rows").over(series))
+        .select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_task").alias("_of_task"), "_shift", "n")
+    )
+    same = F.col("_task") == F.col("_of_task")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return (
+        numbered.join(offsets, same)
+        .withColumn("pos", F.col("_row") + F.col("_shift"))
+        .select(*df.columns, "pos", "n")
+    )
+
+
 def chronological_split(
     df: DataFrame,
     train_ratio: float = 0.8,
@@ -208,13 +247,12 @@ def value_windows(
 ) -> DataFrame:
     """One-step samples of raw rows without features.
 
-    Rows are numbered day by day, since a street's raw rows are not bounded.
+    Rows are numbered over ranges, since a street's raw rows are not bounded, not even in a day.
     """
     steps = rows.select(
         *keys, *order, F.col(value).cast("double").alias("_step"), F.col(value).cast("double").alias("y")
     )
-    placed = with_position(steps, keys, order, chunk=F.to_date("DateTime"))
-    return _one_step(placed, lookback, keys, block_rows)
+    return _one_step(with_ranged_position(steps, keys, order), lookback, keys, block_rows)
 
 
 def _one_step(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lanewise.catalog import QUERIES
 from lanewise.catalog import tables as t
-from lanewise.operators import joins, windows
+from lanewise.operators import filters, joins, windows
 from lanewise.sources import observations
 
 USES_PYTHON = {
@@ -94,9 +94,45 @@ def test_one_route_with_most_rows_is_spread(spark):
     samples = windows.value_windows(rows, 5, order=["DateTime", "id"], block_rows=500)
     assert samples.count() == n - 2 * 5
     plan = plan_of(samples)
-    assert re.search(r"hashpartitioning\(street_name#\d+, _chunk#\d+", plan)
-    assert re.search(r"hashpartitioning\(street_name#\d+, _block#\d+", plan)
-    assert not re.search(r"hashpartitioning\(street_name#\d+, \d+\)", plan.split("_rows")[0])
+    assert re.search(r"hashpartitioning\(street_name#\d+, _block#\d+", plan_of(samples))
+
+
+def test_one_hot_day_is_numbered_by_all_tasks(spark):
+    """All rows in one minute of one street: ranges split it, and the numbers have no gap."""
+    rows = spark.range(8000).select(
+        F.when(F.col("id") == 0, None).otherwise("hot").alias("street_name"),
+        F.lit("2024-01-01").cast("timestamp_ntz").alias("DateTime"), (F.col("id") * 7 % 8000).alias("id"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = windows.with_ranged_position(rows, ["street_name"], ["DateTime", "id"])
+        got = placed.where("street_name = 'hot'").orderBy("id").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r["pos"] for r in got] == list(range(7999)) and {r["n"] for r in got} == {7999}
+    assert [(r["pos"], r["n"]) for r in placed.where("street_name IS NULL").collect()] == [(0, 1)]
+    tasks = spark.read.parquet(*placed.inputFiles()).groupBy("_task").count().collect()
+    assert len(tasks) == 8 and max(r["count"] for r in tasks) < 2000
+
+
+def test_ranged_positions_equal_plain_ones(spark, sf):
+    rows = t.los(spark, sf)
+    order = ["date", "period", "event_id"]
+    plain = windows.with_position(rows, ["street_name"], order)
+    ranged = windows.with_ranged_position(rows, ["street_name"], order)
+    columns = ["event_id", "pos", "n"]
+    assert plain.select(*columns).exceptAll(ranged.select(*columns)).count() == 0
+    assert ranged.count() == rows.count() > 0
+    empty = windows.with_ranged_position(rows.limit(0), ["street_name"], order)
+    assert empty.count() == 0
+
+
+def test_recent_rows_reach_the_scan(spark, stored):
+    """The least start is a value of the second scan's filter, where Spark puts it at run time."""
+    obs = spark.read.parquet(stored)
+    for recent in (filters.last_days(obs, 3), filters.last_month(obs)):
+        scans = re.findall(r"DataFilters: \[(.*?)\], Format", plan_of(recent))
+        assert any(re.search(r"DateTime#\d+ >= (scalar-subquery|Subquery)", s) for s in scans), scans
 
 
 def test_asof_of_one_hot_moment(spark):
