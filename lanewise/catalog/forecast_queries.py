@@ -215,6 +215,27 @@ def fc_03(spark, sf):
     return fc.batch_forecast(t.obs(spark, sf))
 
 
+def _fitted_batch(model):
+    """The batch's SQL with a model's own answers in place of the rows of the week before."""
+    rows = "LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY RouteId ORDER BY DateTime) AS pos FROM hourly) v\n"
+    rows += "  ON v.RouteId = t.RouteId AND v.pos = t.seen - 168 + t.step + 1"
+    own = f"LEFT JOIN p_{model} v ON v.RouteId = t.RouteId AND v.origin = t.BaseDate AND v.DateTime = t.DateTime"
+    body = _BATCH.replace(rows, own).replace("v.Vehicles", "v.v").replace("'seasonal_naive'", f"'{model}'")
+    return sql(f"""
+SELECT DateTime, RouteId, {rd('p', 'PredictedVehicles')}, BaseDate, ModelUsed FROM ({body})
+""", "hourly", "spans", f"p_{model}")
+
+
+@query("fc_03_batch_ar1", _fitted_batch("ar1"))
+def fc_03_ar1(spark, sf):
+    return fc.batch_forecast(t.obs(spark, sf), model="ar1")
+
+
+@query("fc_03_batch_sar1", _fitted_batch("sar1"))
+def fc_03_sar1(spark, sf):
+    return fc.batch_forecast(t.obs(spark, sf), model="sar1")
+
+
 @query("fc_04_seasonal_and_profile", _oracle(["seasonal_naive", "daily_naive", "profile"], RELAXED))
 def fc_04(spark, sf):
     return _run(spark, sf, ["seasonal_naive", "daily_naive", "profile"], min_history=RELAXED)

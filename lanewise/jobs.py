@@ -65,7 +65,8 @@ def run_backtest(spark: SparkSession, args) -> None:
 
 def predict(spark: SparkSession, args) -> None:
     """A forecast for every route of every city and zone on every day, as CSV."""
-    artifacts.write_predictions(fc.batch_forecast(_observations(spark, args), keys=ROUTE), args.out)
+    rows = fc.batch_forecast(_observations(spark, args), model=args.model, keys=ROUTE)
+    artifacts.write_predictions(rows, args.out)
 
 
 def _slots(spark: SparkSession, args) -> DataFrame:
@@ -122,7 +123,8 @@ def _parser() -> argparse.ArgumentParser:
         "backtest", run_backtest, **table, zone={}, route={}, days={"type": int, "default": 365},
         no_arima={"action": "store_true"}, models=models, min_history=history,
     )
-    command("predict", predict, **table)
+    one_model = {"choices": fc.MODELS, "default": "seasonal_naive"}
+    command("predict", predict, **table, model=one_model)
     kinds = ["logit", "mlp"]
     command(
         "train-streets", train_streets, csv=text, out=text,

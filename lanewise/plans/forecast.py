@@ -429,11 +429,15 @@ def batch_forecast(
 
     Unlike ``forecast`` the history is a number of rows, however far back they reach. A route
     starts on its first day. Forecast hour h of the naive models is row h of the history's first,
-    or last, day.
+    or last, day. Other models answer as in ``forecast``, where those rows exist.
     """
     keys = list(keys)
-    offset = {"seasonal_naive": lookback, "daily_naive": 24}[model]
+    if model not in MODELS:
+        raise ValueError(f"unknown models {[model]}")
+    offset = {"seasonal_naive": lookback, "daily_naive": 24}.get(model)
     hourly = resample.hourly_mean(obs, keys)
+    if offset is None:
+        hourly = stored(hourly, "hourly")
     days = obs.select(F.to_date("DateTime").alias("_day")).distinct()
     last_day = days.agg(F.max("_day").alias("_last")).scalar()
     first_days = obs.groupBy(*keys).agg(F.to_date(F.min("DateTime")).alias("_first"))
@@ -465,12 +469,22 @@ def batch_forecast(
             F.col("_s._mean").alias("_mean"),
         )
     )
-    rows = forecast_hours(asked, horizon).withColumn(
-        "_pos", F.col("_seen") - offset + F.col("step") + 1
-    )
-    values = placed.select(*keys, "_pos", F.col("Vehicles").alias("_value"))
+    if offset is None:
+        asked = stored(asked, "origins")
+        own = forecast(hourly, asked, [model], lookback, horizon, min_history=0, keys=keys)
+        on = [*keys, "origin", "DateTime"]
+        values = own.where(F.col("model_used") == model).select(
+            *on, F.col("PredictedVehicles").alias("_value")
+        )
+        rows = forecast_hours(asked, horizon)
+    else:
+        on = [*keys, "_pos"]
+        values = placed.select(*on, F.col("Vehicles").alias("_value"))
+        rows = forecast_hours(asked, horizon).withColumn(
+            "_pos", F.col("_seen") - offset + F.col("step") + 1
+        )
     answered = F.col("_value").isNotNull() & (F.col("_seen") >= lookback)
-    return rows.join(values, [*keys, "_pos"], "left").select(
+    return rows.join(values, on, "left").select(
         F.col("DateTime"),
         *keys,
         F.when(answered, F.greatest("_value", F.lit(0.0)))

@@ -91,6 +91,15 @@ def test_predict(spark, root, tmp_path):
     assert {r[0] for r in late.select("ModelUsed").distinct().collect()} == {"seasonal_naive"}
 
 
+def test_predict_with_a_fitted_model(spark, root, tmp_path):
+    out = str(tmp_path / "p")
+    jobs.main(["predict", "--root", root, "--out", out, "--model", "linear"], spark)
+    got = artifacts.read_predictions(spark, out)
+    assert got.count() == 3 * 21 * 24
+    assert {r[0] for r in got.where(F.col("BaseDate") == "2024-01-20").select("ModelUsed").distinct().collect()} == {"linear"}
+    assert got.where(F.col("PredictedVehicles").isNull() | (F.col("PredictedVehicles") < 0)).count() == 0
+
+
 def test_street_jobs(spark, tmp_path):
     start = dt.datetime(2021, 3, 1)
     lines = ["_id,segment_id,date,period,LOS,street_name"]
