@@ -28,6 +28,7 @@ from lanewise.session import stored
 MARK, STAND_IN = "﷐", "﷑"  # code points that no text may contain, and of equal length
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MOST_TEXTS = 64
+BLOCK = 128
 _TAIL = r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
 
@@ -208,6 +209,34 @@ def candidates(postings: DataFrame, trigrams: list[str], queries: dict[str, froz
     return tested.where(" OR ".join(f"may_{k}" for k in flags))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(values: Column) -> Column:
+    """An array in arrays of ``BLOCK`` elements."""
+    last = F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _before(values: Column, join) -> Column:
+    """What ``join`` makes of 0 and the ints before each element.
+
+    An array grows by copying, so results are appended within blocks only, each of which starts
+    from what the blocks before it come to.
+    """
+    begin = lambda at: F.struct(at.alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    add = lambda s, v: F.struct(join(s["at"], v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+
+    def over(blocks: Column, totals: Column) -> Column:
+        start = lambda i: F.aggregate(F.slice(totals, F.lit(1), i), F.lit(0), join)
+        return F.flatten(F.transform(blocks, lambda b, i: F.aggregate(b, begin(start(i)), add, lambda s: s["out"])))
+
+    total = lambda b: F.aggregate(b, F.lit(0), join)
+    return _let(values, lambda v: _let(_blocks(v), lambda blocks: _let(F.transform(blocks, total), lambda totals: over(blocks, totals))))
+
+
 def spans(text: Column, rule: Rule) -> Column:
     """Array of (start, kind, end) of a rule's matches, in code points with the end exclusive.
 
@@ -217,12 +246,13 @@ def spans(text: Column, rule: Rule) -> Column:
     java = rule.pattern.replace(r"\x20", " ")
     pieces = F.split(F.regexp_replace(text, F.lit(f"(?:{java})"), F.lit(f"{MARK}$0{MARK}")), MARK)
     step = F.transform(pieces, lambda p, i: F.struct(F.length(p).alias("n"), (i % 2).alias("hit"), (F.length(F.regexp_extract(p, f"^(?:{java})", rule.group)) if rule.group else F.length(p)).alias("size")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,kind:string,end:int>>)").alias("out"))
-    kept = lambda s, p: F.when(
-        (p["hit"] == 1) & (p["size"] >= rule.least),
-        F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), F.lit(rule.kind).alias("kind"), (s["at"] + p["n"]).alias("end")))),
-    ).otherwise(s["out"])
-    return F.aggregate(step, start, lambda s, p: F.struct((s["at"] + p["n"]).alias("at"), kept(s, p).alias("out")), lambda s: s["out"])
+
+    def placed(steps: Column, at: Column) -> Column:
+        kind = lambda p: F.when((p["hit"] == 1) & (p["size"] >= rule.least), F.lit(rule.kind))
+        every = F.transform(steps, lambda p, i: F.struct(at[i].alias("start"), kind(p).alias("kind"), (at[i] + p["n"]).alias("end")))
+        return F.filter(every, lambda x: x["kind"].isNotNull())
+
+    return _let(step, lambda steps: _let(_before(F.transform(steps, lambda p: p["n"]), lambda a, n: a + n), lambda at: placed(steps, at)))
 
 
 def scan(
@@ -264,16 +294,29 @@ def scan(
 
 
 def masked(text: Column, kinds: list[str], sign: str = "[secret]") -> Column:
-    """The text with every found span replaced; overlapping spans become one sign. Null stays null."""
+    """The text with every found span replaced; overlapping spans become one sign. Null stays null.
+
+    A block of spans is cut from its own part of the text, since finding a place in a text reads
+    the text up to it.
+    """
     ranked = F.array_sort(F.concat(*[F.transform(f"spans_{k}", lambda s: F.struct(s["start"], s["end"])) for k in kinds]))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda s, x: F.struct(
-        F.greatest(s["at"], x["end"]).alias("at"),
-        F.when(x["start"] < s["at"], s["out"])
-        .otherwise(F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(sign)))
-        .alias("out"),
-    )
-    done = F.aggregate(ranked, begin, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+
+    def part(block: Column) -> Column:
+        """The text from where the block's first span may begin, up to its last end."""
+        base = block[0]["at"]
+        top = F.aggregate(block, F.lit(0), lambda a, x: F.greatest(a, x["start"]))
+        piece = lambda own, x: F.when(x["start"] < x["at"], F.lit("")).otherwise(
+            F.concat(F.substring(own, x["at"] - base + 1, x["start"] - x["at"]), F.lit(sign))
+        )
+        return _let(F.substring(text, base + 1, F.greatest(top - base, F.lit(0))), lambda own: F.array_join(F.transform(block, lambda x: piece(own, x)), ""))
+
+    def cut(found: Column, at: Column) -> Column:
+        placed = F.transform(found, lambda x, i: F.struct(x["start"].alias("start"), at[i].alias("at")))
+        end = F.aggregate(found, F.lit(0), lambda a, x: F.greatest(a, x["end"]))
+        front = F.array_join(_let(placed, lambda p: F.transform(_blocks(p), part)), "")
+        return F.concat(front, F.substring(text, end + 1, F.length(text)))
+
+    done = _let(ranked, lambda found: _let(_before(F.transform(found, lambda x: x["end"]), lambda a, e: F.greatest(a, e)), lambda at: cut(found, at)))
     return F.when(F.size(ranked) > 0, done).otherwise(text)
 
 
