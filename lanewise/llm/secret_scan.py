@@ -215,9 +215,10 @@ def _let(value: Column, body) -> Column:
 
 
 def _blocks(values: Column) -> Column:
-    """An array in arrays of ``BLOCK`` elements."""
-    last = F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / BLOCK).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
+    """An array in arrays of ``BLOCK`` elements, or of its size's square root if that is more."""
+    n = F.greatest(F.size(values), F.lit(1))
+    size = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(BLOCK))
+    return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda b: F.slice(values, b * size + 1, size))
 
 
 def _before(values: Column, join) -> Column:
@@ -247,12 +248,19 @@ def spans(text: Column, rule: Rule) -> Column:
     pieces = F.split(F.regexp_replace(text, F.lit(f"(?:{java})"), F.lit(f"{MARK}$0{MARK}")), MARK)
     step = F.transform(pieces, lambda p, i: F.struct(F.length(p).alias("n"), (i % 2).alias("hit"), (F.length(F.regexp_extract(p, f"^(?:{java})", rule.group)) if rule.group else F.length(p)).alias("size")))
 
-    def placed(steps: Column, at: Column) -> Column:
-        kind = lambda p: F.when((p["hit"] == 1) & (p["size"] >= rule.least), F.lit(rule.kind))
-        every = F.transform(steps, lambda p, i: F.struct(at[i].alias("start"), kind(p).alias("kind"), (at[i] + p["n"]).alias("end")))
-        return F.filter(every, lambda x: x["kind"].isNotNull())
+    begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,kind:string,end:int>>)").alias("out"))
+    kept = lambda s, p: F.when(
+        (p["hit"] == 1) & (p["size"] >= rule.least),
+        F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), F.lit(rule.kind).alias("kind"), (s["at"] + p["n"]).alias("end")))),
+    ).otherwise(s["out"])
+    of_block = lambda b: F.aggregate(b, begin, lambda s, p: F.struct((s["at"] + p["n"]).alias("at"), kept(s, p).alias("out")))
+    shifted = lambda out, by: F.transform(out, lambda x: F.struct((x["start"] + by).alias("start"), x["kind"].alias("kind"), (x["end"] + by).alias("end")))
 
-    return _let(step, lambda steps: _let(_before(F.transform(steps, lambda p: p["n"]), lambda a, n: a + n), lambda at: placed(steps, at)))
+    def placed(done: Column) -> Column:
+        by = lambda i: F.aggregate(F.slice(done, F.lit(1), i), F.lit(0), lambda a, x: a + x["at"])
+        return F.flatten(F.transform(done, lambda x, i: F.when(F.size(x["out"]) > 0, _let(by(i), lambda start: shifted(x["out"], start))).otherwise(x["out"])))
+
+    return _let(step, lambda steps: _let(F.transform(_blocks(steps), of_block), placed))
 
 
 def scan(
